@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import mixing, sharding
-from voxelloom.llm.common import table
+from voxelloom.llm import langid, mixing, quality, sharding
+from voxelloom.llm.common import fold_of, table
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,31 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        (fold_of("doc_id", quality.FOLDS) == quality.HELD).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify_languages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        (fold_of("doc_id", langid.FOLDS) == langid.HELD).alias("held_out"),
+        "lang_pred", "score", "rejected",
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_source_mixing, op8_sharding)
+    for f in (
+        op2_source_mixing,
+        op8_sharding,
+        op9_quality_classifier,
+        op10_language_id,
+    )
 }
