@@ -32,7 +32,7 @@ FOLDS, HELD = 3, 1
 DICTIONARY_DOCS = 400
 DICTIONARY_BYTES = 110_000
 WORD_LIST_BYTES = 30_000
-LEVEL = 3
+LEVEL = 9
 #: A margin below this many bytes is narrow.
 MIN_MARGIN = 2
 
