@@ -41,4 +41,31 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM run
 """
 
-ORACLES = {"op2_source_mixing": OP2}
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+it AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[s + 1 : s + least(len(w), 10)], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS s FROM it WHERE len(w) > 0)),
+grams AS (
+  SELECT rid, l, j, array_to_string(w[j + 1 : j + l], ' ') AS k
+  FROM (SELECT rid, w, l, unnest(range(0, len(w) - l + 1)) AS j
+        FROM d CROSS JOIN (SELECT DISTINCT l FROM wins) WHERE len(w) >= l)),
+found AS (SELECT g.rid, g.l, g.j, x.item_id FROM grams g JOIN wins x ON g.l = x.l AND g.k = x.k),
+hit AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(j, j + l)) AS pos FROM found) GROUP BY rid),
+ids AS (
+  SELECT rid, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM found) GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
+"""
+
+ORACLES = {"op2_source_mixing": OP2, "op5_decontamination": OP5}
