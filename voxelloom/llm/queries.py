@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, langid, mixing, quality, sharding
+from voxelloom.llm import decontamination, langid, mixing, neardup, quality, sharding
 from voxelloom.llm.common import fold_of, table
 
 
@@ -24,6 +24,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -56,6 +61,7 @@ QUERIES = {
     for f in (
         op2_source_mixing,
         op5_decontamination,
+        op7_minhash_near_dedup,
         op8_sharding,
         op9_quality_classifier,
         op10_language_id,

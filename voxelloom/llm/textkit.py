@@ -130,20 +130,25 @@ def sums_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def map_texts(docs: DataFrame, fn, fields: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_texts(
+    docs: DataFrame, fn, fields: str, id_col: str = "doc_id", text_col: str = "text", keep: dict | None = None
+) -> DataFrame:
     """``fn(list of bytes or None) -> list of arrays`` beside each document id.
 
-    Arrow batches go through whole; ids stay Arrow values, so nulls and large
-    numbers survive.  ``fields`` is the DDL of the added columns.
+    Arrow batches go through whole; ids and ``keep`` (name to Column) stay
+    Arrow values, so nulls and large numbers survive.  ``fields`` is the DDL
+    of the added columns.
     """
-    slim = docs.select(F.col(id_col), F.encode(F.col(text_col), "UTF-8").alias("_text"))
-    kind = slim.schema[0].dataType.simpleString()
-    names = [id_col, *[f.strip().split()[0] for f in fields.split(",")]]
+    kept = {id_col: F.col(id_col), **(keep or {})}
+    slim = docs.select(*[c.alias(n) for n, c in kept.items()], F.encode(F.col(text_col), "UTF-8").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
+    names, passing = [*kept, *[f.strip().split()[0] for f in fields.split(",")]], len(kept)
 
     def run(batches):
         for batch in batches:
-            arrays = fn(batch.column(1).to_pylist())
+            arrays = fn(batch.column(passing).to_pylist())
             columns = [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            passed = [batch.column(i) for i in range(passing)]
+            yield pa.RecordBatch.from_arrays([*passed, *columns], names=names)
 
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, {fields}")
+    return slim.mapInArrow(run, f"{schema}, {fields}")
