@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, langid, mixing, neardup, quality, sharding
+from voxelloom.llm import decontamination, langid, mixing, neardup, quality, sharding, toxicity
 from voxelloom.llm.common import fold_of, table
 
 
@@ -14,6 +14,16 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        (fold_of("doc_id", toxicity.FOLDS) == toxicity.HELD).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -60,6 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_source_mixing,
+        op3_toxicity,
         op5_decontamination,
         op7_minhash_near_dedup,
         op8_sharding,
