@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, langid, mixing, neardup, quality, sharding, toxicity, vectorsearch
+from voxelloom.llm import decontamination, langid, lm, mixing, neardup, quality, sharding, toxicity, vectorsearch
 from voxelloom.llm.common import fold_of, table
 
 
@@ -28,6 +28,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_texts(table(spark, sf_dir, "documents"))
+    return scored.select(
+        "doc_id",
+        (fold_of("doc_id", lm.FOLDS) == lm.HELD).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -76,6 +85,7 @@ QUERIES = {
         op1_exact_top_k,
         op2_source_mixing,
         op3_toxicity,
+        op4_lm_scoring,
         op5_decontamination,
         op7_minhash_near_dedup,
         op8_sharding,
