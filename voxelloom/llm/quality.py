@@ -245,7 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return Model(pooler, net.calibrate(x[kept], y[kept], importance[kept]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Per document: doc_id and the calibrated probability of label 1."""
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", keep_columns: bool = False) -> DataFrame:
+    """Per document: doc_id and the calibrated probability of label 1.
+
+    With ``keep_columns`` the other columns of ``docs`` stay beside the score.
+    """
     model = train(docs, labels, label)
-    return textkit.map_texts(docs, lambda texts: [pa.array(model.score(texts), pa.float64())], "score double")
+    keep = {c: F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "score")} if keep_columns else None
+    return textkit.map_texts(
+        docs, lambda texts: [pa.array(model.score(texts), pa.float64())], "score double", keep=keep
+    )

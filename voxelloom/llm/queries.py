@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, langid, lm, mixing, neardup, quality, sharding, toxicity, vectorsearch
+from voxelloom.llm import decontamination, langid, lm, mixing, neardup, quality, sharding, tokencounts, toxicity, vectorsearch
 from voxelloom.llm.common import fold_of, table
 
 
@@ -47,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.rollup_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -87,6 +91,7 @@ QUERIES = {
         op3_toxicity,
         op4_lm_scoring,
         op5_decontamination,
+        op6_token_counts,
         op7_minhash_near_dedup,
         op8_sharding,
         op9_quality_classifier,
