@@ -1,0 +1,151 @@
+"""Append-only run ledger with a hash chain, and audit events."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Key fragments whose values are redacted.
+SENSITIVE_FRAGMENTS = (
+    "api_key", "apikey", "auth", "credential", "passwd", "password", "private_key", "secret", "token",
+)
+REDACTED = "[REDACTED]"
+#: Parameters that do not matter when runs are compared.
+IGNORED_PARAMETERS = ("execution_order", "force_rerun")
+
+
+def canonical_json(value) -> str:
+    """Sorted keys at every depth, compact, ASCII."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
+def redact(value):
+    """``value`` with sensitive keys replaced, at any depth."""
+    if isinstance(value, dict):
+        return {
+            k: REDACTED if any(f in str(k).lower() for f in SENSITIVE_FRAGMENTS) else redact(v) for k, v in value.items()
+        }
+    return [redact(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(StringType())
+def redact_json(payload: pd.Series) -> pd.Series:
+    """JSON texts redacted and in canonical form; other texts stay."""
+
+    def one(text):
+        try:
+            return canonical_json(redact(json.loads(text)))
+        except (TypeError, ValueError):
+            return text
+
+    return payload.map(one)
+
+
+@F.pandas_udf(StringType())
+def canonical_json_text(payload: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return canonical_json(json.loads(text))
+        except (TypeError, ValueError):
+            return text
+
+    return payload.map(one)
+
+
+def record_text(*fields: Column) -> Column:
+    return F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
+
+
+def chain_records(records: list[dict]) -> list[dict]:
+    """Records with run_index, prev_hash and self_hash.
+
+    Each hash depends on the one before, so one ledger is chained in order.
+    """
+    out, previous = [], None
+    for i, record in enumerate(records, 1):
+        body = record | {"run_index": i, "prev_hash": previous}
+        previous = hashlib.sha256(canonical_json(body).encode()).hexdigest()
+        out.append(body | {"self_hash": previous})
+    return out
+
+
+def verify_records(records: list[dict]) -> tuple[bool, list[str]]:
+    """All breaks of a chain; an empty one is valid."""
+    issues, previous = [], None
+    for r in sorted(records, key=lambda r: r["run_index"]):
+        body = {k: v for k, v in r.items() if k != "self_hash"}
+        if r["prev_hash"] != previous:
+            issues.append(f"run {r['run_index']}: prev_hash mismatch")
+        if hashlib.sha256(canonical_json(body).encode()).hexdigest() != r["self_hash"]:
+            issues.append(f"run {r['run_index']}: self_hash mismatch")
+        previous = r["self_hash"]
+    return not issues, issues
+
+
+def numbered(records: DataFrame, ledger: list[str], order: list[str]) -> DataFrame:
+    """run_index from 1 in the order of the ledger."""
+    return records.withColumn("run_index", F.row_number().over(Window.partitionBy(*ledger).orderBy(*order)))
+
+
+def link_hashes(records: DataFrame, ledger: list[str], body: Column) -> DataFrame:
+    """body_hash of each record and prev_hash, that of the one before."""
+    hashed = records.withColumn("self_hash", F.sha2(body, 256))
+    before = Window.partitionBy(*ledger).orderBy("run_index")
+    return hashed.withColumn("prev_hash", F.lag("self_hash").over(before))
+
+
+def verify_links(records: DataFrame, ledger: list[str], body: Column) -> DataFrame:
+    """Broken records: recomputed hash or link to the one before differs."""
+    before = F.lag("self_hash").over(Window.partitionBy(*ledger).orderBy("run_index"))
+    checked = records.withColumn("bad_self", F.sha2(body, 256) != F.col("self_hash"))
+    checked = checked.withColumn("bad_prev", ~F.col("prev_hash").eqNullSafe(before))
+    return checked.where("bad_self OR bad_prev").select(*ledger, "run_index", "bad_self", "bad_prev")
+
+
+def latest_completed(records: DataFrame, ledger: list[str]) -> DataFrame:
+    """The completed run of the highest index in each ledger."""
+    fields = F.struct(*[c for c in records.columns if c not in ledger and c != "run_index"])
+    top = records.where("status = 'completed'").groupBy(*ledger).agg(F.max(F.struct("run_index", fields.alias("r"))).alias("top"))
+    return top.select(*ledger, "top.run_index", "top.r.*")
+
+
+def matching_runs(records: DataFrame, wanted: DataFrame, ledger: list[str]) -> DataFrame:
+    """Newest completed, not skipped run with the wanted parameters.
+
+    Both sides carry ``parameters`` text; equality is that of its hash.
+    """
+    done = records.where("status = 'completed' AND NOT skipped").withColumn("key", F.sha2("parameters", 256))
+    ask = wanted.select(*ledger, F.sha2("parameters", 256).alias("key")).distinct()
+    found = done.join(ask, [*ledger, "key"])
+    return found.groupBy(*ledger).agg(F.max("run_index").alias("run_index"), F.max_by("run_id", "run_index").alias("run_id"))
+
+
+def comparable(parameters: dict) -> dict:
+    return {k: v for k, v in parameters.items() if k not in IGNORED_PARAMETERS}
+
+
+def sequenced(events: DataFrame, execution: str, order: list[str]) -> DataFrame:
+    """Audit events with a sequence number per execution, from 1."""
+    return events.withColumn("sequence", F.row_number().over(Window.partitionBy(execution).orderBy(*order)))
+
+
+def manifest(lines: DataFrame) -> DataFrame:
+    """Non-blank lines, bytes and an order-free checksum of a text log."""
+    kept = lines.where(F.trim("value") != "")
+    per_part = kept.groupBy(F.pmod(F.xxhash64("value"), F.lit(64)).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"), F.sha2(F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string"), 256).alias("h")
+    )
+    return per_part.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("event_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda s: s["h"]), ""), 256).alias("checksum"),
+    )
+
+
+def latest_references(outputs: DataFrame) -> DataFrame:
+    """One output per operation: the most recently updated."""
+    return outputs.groupBy("operation").agg(F.max_by("component", F.struct("updated", "component")).alias("component"), F.max("updated").alias("updated"))
