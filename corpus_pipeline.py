@@ -7,15 +7,13 @@ kept and returns documents again; the last one deals them to shards.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxelloom.llm import common, decontamination, mixing, neardup, quality, sharding
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality probability reaches the threshold."""
-    scored = quality.score_quality(docs, common.table(spark, sf_dir, "labels"), keep_columns=True)
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,15 +223,15 @@ def richardson_lucy(block: np.ndarray, psf: np.ndarray, rounds: int) -> np.ndarr
     """Classic iteration by FFT; an approximation of a vendor's variant."""
     psf = np.maximum(psf, 0)
     psf = psf / psf.sum() if psf.sum() > 0 else np.zeros_like(psf)
-    pad = np.zeros(block.shape)
+    pad, axes = np.zeros(block.shape), tuple(range(block.ndim))
     pad[tuple(slice(0, n) for n in psf.shape)] = psf
     pad = np.roll(pad, [-(n // 2) for n in psf.shape], range(block.ndim))
     f = np.fft.rfftn(pad)
     out = np.maximum(block.astype(float), 1e-6)
     for _ in range(rounds):
-        blurred = np.fft.irfftn(np.fft.rfftn(out) * f, block.shape)
+        blurred = np.fft.irfftn(np.fft.rfftn(out) * f, block.shape, axes)
         ratio = block / np.maximum(blurred, 1e-6)
-        out *= np.maximum(np.fft.irfftn(np.fft.rfftn(ratio) * f.conj(), block.shape), 0)
+        out *= np.maximum(np.fft.irfftn(np.fft.rfftn(ratio) * f.conj(), block.shape, axes), 0)
     return out
 
 
