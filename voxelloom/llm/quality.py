@@ -245,13 +245,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return Model(pooler, net.calibrate(x[kept], y[kept], importance[kept]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", keep_columns: bool = False) -> DataFrame:
-    """Per document: doc_id and the calibrated probability of label 1.
-
-    With ``keep_columns`` the other columns of ``docs`` stay beside the score.
-    """
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: dict | None = None, name: str = "score") -> DataFrame:
+    """Per document: doc_id and, as ``name``, the calibrated probability of
+    label 1; ``keep`` (name to Column) stays beside it."""
     model = train(docs, labels, label)
-    keep = {c: F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "score")} if keep_columns else None
     return textkit.map_texts(
-        docs, lambda texts: [pa.array(model.score(texts), pa.float64())], "score double", keep=keep
+        docs, lambda texts: [pa.array(model.score(texts), pa.float64())], f"{name} double", keep=keep
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose probability reaches the threshold."""
+    keep = {c: F.col(f"`{c}`") for c in docs.columns if c != "doc_id"}
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    scored = score_quality(docs, labels, keep=keep, name=name)
+    return scored.where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
