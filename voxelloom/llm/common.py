@@ -43,6 +43,17 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches near 4 MB, unless the session says otherwise.
+
+    The default of 64 MB, held in several copies by every task and its Python
+    worker, is what long texts would fill.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB", "67108864"):
+        spark.conf.set(key, "4m")
+
+
 def fold_of(column: str, folds: int):
     """``crc32(id as text) mod folds``; a null id counts as remainder 0."""
     crc = F.crc32(F.encode(F.col(column).cast("string"), "UTF-8"))

@@ -17,6 +17,7 @@ def labelled_sample(
     hash of the id first.  Null ids, labels and texts are left out; an id that
     has several labels counts with the smallest.
     """
+    common.bounded_batches(docs.sparkSession)
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .where(common.fold_of("doc_id", folds) != held)

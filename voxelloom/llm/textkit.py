@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.llm import common
+
 CHUNK_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -139,8 +141,12 @@ def map_texts(
     Arrow values, so nulls and large numbers survive.  ``fields`` is the DDL
     of the added columns.
     """
+    common.bounded_batches(docs.sparkSession)
     kept = {id_col: F.col(id_col), **(keep or {})}
-    slim = docs.select(*[c.alias(n) for n, c in kept.items()], F.encode(F.col(text_col), "UTF-8").alias("_text"))
+    own = "_text"
+    while own in kept:
+        own += "_"
+    slim = docs.select(*[c.alias(n) for n, c in kept.items()], F.encode(F.col(text_col), "UTF-8").alias(own))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
     names, passing = [*kept, *[f.strip().split()[0] for f in fields.split(",")]], len(kept)
 
