@@ -35,7 +35,9 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 12
 EMBED, HIDDEN, ATTEND = 12, 8, 8
 INPUTS = WORD_BUCKETS + 3 * CHAR_BUCKETS
 BATCH, EPOCHS, RATE = 64, 6, 6e-3
-TRIM_AFTER = 1
+#: Small samples are passed over until the network has had this many updates.
+MIN_UPDATES = 500
+WARM_UPDATES = 90
 SCORE_BATCH = 1024
 
 
@@ -232,9 +234,9 @@ def fit_network(docs_windows: list[np.ndarray], labels: np.ndarray, seed: int =
 
     A toxic document contributes the window that scores highest so far, a
     clean one its highest and a random window.  The first choice goes by the
-    log-odds of single words.  From epoch TRIM_AFTER on, a document labelled
-    toxic in which no window looks toxic is taken for a labelling error and
-    not learnt by heart.
+    log-odds of single words, until the network has had WARM_UPDATES.  From
+    then on a document labelled toxic in which no window looks toxic is taken
+    for a labelling error and not learnt by heart, if most others do.
     """
     rng = np.random.default_rng(seed)
     sizes = np.array([len(w) for w in docs_windows])
@@ -248,16 +250,23 @@ def fit_network(docs_windows: list[np.ndarray], labels: np.ndarray, seed: int =
     odds[0] = 0
     value = odds[stacked[..., 0]].max(1)
     net = Network(seed)
+    # words start from their log-odds, shrunk where few documents show them
+    shown = seen[0] + seen[1]
+    net.p["E"][:WORD_BUCKETS, 0] += (0.5 * odds * shown / (shown + 4)).astype(np.float32)
     state = {
         "step": 0, "m": {k: np.zeros_like(v) for k, v in net.p.items() if k != "E"},
         "v": {k: np.zeros_like(v) for k, v in net.p.items() if k != "E"}, "squares": np.full(INPUTS, 1e-4, np.float32),
     }
-    for epoch in range(EPOCHS):
+    updates = -(-2 * len(sizes) // BATCH)
+    epochs = max(EPOCHS, -(-MIN_UPDATES // updates))
+    warm = max(1, -(-WARM_UPDATES // updates))
+    for epoch in range(epochs):
         top = np.array([s + value[s:e].argmax() for s, e in zip(starts, ends, strict=True)])
         other = starts + rng.integers(0, 1 << 30, len(sizes)) % sizes
         positive, negative = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-        if epoch >= TRIM_AFTER and (value[top[positive]] >= 0.5).any():
-            positive = positive[value[top[positive]] >= 0.5]
+        seen_toxic = value[top[positive]] >= 0.5
+        if epoch >= warm and 2 * seen_toxic.sum() > len(positive):
+            positive = positive[seen_toxic]
         copies = max(1, round(2 * len(negative) / len(positive) / 2))
         chosen = np.concatenate([np.tile(top[positive], copies), top[negative], other[negative]])
         y = np.concatenate([np.ones(len(positive) * copies), np.zeros(2 * len(negative))]).astype(np.float32)
@@ -266,7 +275,7 @@ def fit_network(docs_windows: list[np.ndarray], labels: np.ndarray, seed: int =
         word = stacked[said, rng.integers(0, WINDOW, len(said))]
         ids = np.concatenate([stacked[chosen], np.repeat(word[:, None], WINDOW, axis=1)])
         net.fit_epoch(ids, np.append(y, np.zeros(len(said), np.float32)), state, rng)
-        if TRIM_AFTER - 1 <= epoch < EPOCHS - 1:
+        if warm - 1 <= epoch < epochs - 1:
             value = net.prepare().score(stacked)
     return net.prepare()
 
