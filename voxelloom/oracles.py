@@ -220,4 +220,13 @@ SELECT kf, nx, j + 3, (j + 1)::DOUBLE / (g + 1) FROM (SELECT *, unnest(range(0,
 SELECT (row_number() OVER (ORDER BY kf, s) - 1)::INT AS frame, kf AS start, e AS "end", round(alpha, 6) + 0.0 AS alpha FROM f""",
     "frame_gaps": """WITH n AS (SELECT DISTINCT (o_orderkey % 1000000)::INT AS n FROM orders WHERE o_orderkey % 13 <> 5), b AS (SELECT n, coalesce(lag(n) OVER (ORDER BY n), -1) AS before FROM n)
 SELECT * FROM b WHERE n <> before + 1""",
+    "mutual_information": f"""WITH {VOX}, {PAIRS}, r AS (SELECT c, fixed, moving, min(fixed) OVER w AS f0, max(fixed) OVER w AS f1, min(moving) OVER w AS m0, max(moving) OVER w AS m1 FROM pr WINDOW w AS (PARTITION BY c)),
+b AS (SELECT c, least(15, floor((fixed - f0)::DOUBLE / (f1 - f0) * 16))::INT AS f, least(15, floor((moving - m0)::DOUBLE / (m1 - m0) * 16))::INT AS m FROM r),
+k AS (SELECT c, f, m, count(*) AS n FROM b GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY c) AS a, sum(n) OVER (PARTITION BY c, f) AS nf, sum(n) OVER (PARTITION BY c, m) AS nm FROM k),
+i AS (SELECT c, sum(n::DOUBLE / a * ln(n::DOUBLE * a / (nf::DOUBLE * nm))) AS mi FROM s GROUP BY c)
+SELECT c, round(mi, 6) + 0.0 AS mutual_information, round(corr(fixed, moving), 6) + 0.0 AS correlation FROM i JOIN pr USING (c) GROUP BY c, mi""",
+    "stitch_tiles": f"""WITH {VOX}, f AS (SELECT t, p, c, y, x, max(v) AS v FROM v GROUP BY ALL),
+w AS (SELECT t, c, y + 2 AS y, x + 2 + 6 * p AS x, v, greatest(least(CASE WHEN p > 0 AND x < 2 THEN 0.5 - 0.5 * cos(pi() * (x + 0.5) / 2) ELSE 1.0 END, CASE WHEN p < 4 AND x >= 6 THEN 0.5 - 0.5 * cos(pi() * (8 - x - 0.5) / 2) ELSE 1.0 END), 1e-3) AS w FROM f)
+SELECT t, c, y::INT AS y, x::INT AS x, least(65535, greatest(0, round_even(sum(v * w) / sum(w), 0)))::INT AS v FROM w GROUP BY t, c, y, x""",
+    "tile_name_parse": f"WITH {VOX} SELECT 'xz' AS projection, t, c, count(DISTINCT p) AS tiles, min(p) AS first, max(p) AS last FROM v GROUP BY t, c",
 }

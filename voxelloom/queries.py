@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from voxelloom import functions as V
 from voxelloom.operators import collections as C
-from voxelloom.operators import detection, flatfield, fusion, geometry, ledger, projection, registration, regions, statistics
+from voxelloom.operators import (
+    detection, flatfield, fusion, geometry, ledger, projection, regions, registration, render, segmentation, shear, statistics, stitching,
+)
 from voxelloom.sources.voxels import embedding_voxels, table
 
 SHAPE = {"z": 10, "y": 8, "x": 8}
@@ -655,3 +657,50 @@ def frame_specs(spark, sf_dir):
 def frame_gaps(spark, sf_dir):
     f = table(spark, sf_dir, "orders").where("o_orderkey % 13 <> 5").select(F.format_string("/f/frame_%06d.png", F.col("o_orderkey") % 1000000).alias("path")).distinct()
     return C.frame_gaps(f)
+
+
+# volumes and stitching
+
+
+@query
+def mutual_information(spark, sf_dir):
+    found = segmentation.mutual_information(_tile_pairs(spark, sf_dir), ["c"], 16)
+    return found.select("c", r6("mutual_information"), r6("correlation"))
+
+
+@query
+def shear_transform(spark, sf_dir):
+    from voxelloom.sources.voxels import to_chunks, to_voxels
+
+    chunks = to_chunks(embedding_voxels(spark, sf_dir).where("c = 0"), (5, 8, 8), "float32")
+    out = shear.transform(chunks, (10, 8, 8), (2.0, 1.0, 1.0), shear.ShearParams(shear_xz=0.25), (10, 8, 8))
+    return to_voxels(out).withColumn("v", F.round("v", 3))
+
+
+@query
+def fuse_affine(spark, sf_dir):
+    import numpy as np
+
+    from voxelloom.sources.voxels import to_chunks, to_voxels
+
+    affines = {}
+    for p in range(5):
+        affines[p] = np.eye(4)
+        affines[p][:2, 3] = 6.0 * p + 0.5, 0.25 * p
+    chunks = to_chunks(embedding_voxels(spark, sf_dir), (10, 8, 8), "float32")
+    return to_voxels(render.fuse(chunks, affines, (10, 8, 8), (1.0, 1.0, 1.0), (10, 9, 16), (0, 2, 2)))
+
+
+@query
+def stitch_tiles(spark, sf_dir):
+    pixels = projection.max_projection(embedding_voxels(spark, sf_dir), "xy")
+    layout = stitching.canvas((8, 8), 5, 0.25, 0.25)
+    offsets = spark.createDataFrame([(p, layout.margin, layout.origin(p)) for p in range(5)], "p int, oy int, ox int")
+    return stitching.stitch(pixels, offsets, (8, 8), 5, 0.25)
+
+
+@query
+def tile_name_parse(spark, sf_dir):
+    keys = embedding_voxels(spark, sf_dir).select("t", "p", "c").distinct()
+    paths = keys.select(F.format_string("/m/mip_xz_p%04d_t%04d_c%04d.tif", "p", "t", "c").alias("path"))
+    return stitching.grouped(stitching.discover(paths))
