@@ -51,7 +51,7 @@ def test_run_skips_what_has_run(spark):
     W.run(spark, flow, out, {"flatfield": runner, "fusion": runner}, history)
     assert len(calls) == 3
     with pytest.raises(W.UnavailableOperation):
-        W.run(spark, W.Workflow(("usegment3d",)), data, {})
+        W.run(spark, W.Workflow(("segmentation3d",)), data, {})
 
 
 def test_stage_rows(spark):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from voxelloom.operators import render, segmentation, shear
+from voxelloom.operators import geometry, kernels, registration, render, segmentation, shear
 from voxelloom.plans import runners
 from voxelloom.plans import workflow as W
 from voxelloom.sources import descriptors, formats
@@ -109,3 +109,26 @@ def test_workflow_over_voxels(spark, sf):
     out = W.run(spark, flow, {"data": v}, runners.RUNNERS)
     assert out[W.OPERATIONS["mip_export"]].count() == 10 * (64 + 80 + 80)
     assert out[W.OPERATIONS["display_pyramid"]].where("level = 1").count() == v.count() // 8
+
+
+def test_register_shifted_tiles(spark):
+    rng = np.random.default_rng(6)
+    world = kernels.gaussian(rng.random((6, 20, 80)), 0.7) * 1000
+    truth, rows = {0: 0, 1: 12, 2: 24}, []
+    for p, x0 in truth.items():
+        seen = x0 - (2 if p == 1 else 0)  # the stage is wrong by two voxels
+        tile = world[:, :, seen : seen + 30]
+        rows += [(0, p, 0, int(z), int(y), int(x), float(tile[z, y, x])) for z, y, x in np.ndindex(tile.shape)]
+    v = spark.createDataFrame(rows, "t int, p int, c int, z int, y int, x int, v double")
+    stage = spark.createDataFrame([(p, float(x), 0.0, 0.0, 0.0) for p, x in truth.items()], "row int, x double, y double, z double, theta double")
+    moves = geometry.nominal_transforms(stage, 0, {"x": "+x", "y": "+y", "z": "+z"})
+    edges = geometry.overlap_edges(geometry.tile_boxes(moves, (30.0, 20.0, 6.0)), (1.0, 1.0, 1.0)).where("moving = fixed + 1")
+    got = {r["p"]: r["dx"] for r in registration.register_tiles(v, edges, moves, (1.0, 1.0, 1.0), 0, upsample=1).collect()}
+    assert got == pytest.approx({0: 0.0, 1: -2.0, 2: 0.0}, abs=1e-6)
+
+
+def test_deconvolve_keeps_shape(spark):
+    volume = np.full((2, 8, 8), 120.0, np.float32)
+    out = registration.deconvolve(_chunks(spark, volume), np.ones((1, 3, 3)), 2)
+    dense = _dense(out, volume.shape)
+    assert dense.shape == volume.shape and np.allclose(dense, 10, atol=1e-3)

@@ -183,3 +183,77 @@ def envelope_tilt(projection: DataFrame, z_um: float, y_um: float, fraction: flo
     kept = sides.join(F.broadcast(q), "side").where((F.col("z") >= F.col("q")[0]) & (F.col("z") <= F.col("q")[1]))
     slope = kept.groupBy("side").agg(F.regr_slope("z", "y").alias("slope"))
     return slope.agg(F.percentile(F.degrees(F.atan(F.col("slope") * z_um / y_um)), F.lit(0.5)).alias("tilt_deg"))
+
+
+def measure_edges(voxels: DataFrame, edges: DataFrame, transforms: DataFrame, voxel_xyz: tuple, pad: int = 0, upsample: int = 10) -> DataFrame:
+    """(t, fixed, moving, dx, dy, dz, overlap_voxels): shift in micrometres
+    that brings the moving tile onto the fixed one.
+
+    ``edges`` carry the overlap box; a voxel is sent to the edges of its tile
+    whose padded box holds it, so that an edge of a time point is one task.
+    """
+    sides = edges.withColumn("p", F.explode(F.array("fixed", "moving")))
+    world = voxels.join(F.broadcast(transforms), "p")
+    for i, a in enumerate("xyz"):
+        place = sum((F.col(f"m{i}{j}") * F.col(b) * float(voxel_xyz[j]) for j, b in enumerate("xyz")), F.col(f"m{i}3"))
+        world = world.withColumn(f"w{a}", place)
+    rows = world.select("t", "p", "wx", "wy", "wz", "v").join(F.broadcast(sides), "p")  # one row per tile pair and side
+    for a, size in zip("xyz", voxel_xyz, strict=True):
+        edge = pad * size + 1e-6
+        rows = rows.where((F.col(f"w{a}") >= F.col(f"min_{a}") - edge) & (F.col(f"w{a}") < F.col(f"max_{a}") + edge))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        low = [float(first[f"min_{a}"]) - pad * s for a, s in zip("xyz", voxel_xyz, strict=True)]
+        at = [np.rint((pdf[f"w{a}"].to_numpy() - o) / s).astype(int) for a, o, s in zip("xyz", low, voxel_xyz, strict=True)]
+        at = [np.maximum(i, 0) for i in at]
+        shape = [int(i.max()) + 1 for i in at[::-1]]
+        blocks = []
+        for side in ("fixed", "moving"):
+            own = (pdf["p"] == pdf[side]).to_numpy()
+            block = np.zeros(shape)
+            block[tuple(i[own] for i in at[::-1])] = pdf["v"].to_numpy()[own]
+            blocks.append(block - block.mean())
+        shift = kernels.phase_shift(*blocks, upsample)[::-1] * np.array(voxel_xyz)
+        keys = {k: int(first[k]) for k in ("t", "fixed", "moving", "overlap_voxels")}
+        return pd.DataFrame([keys | dict(zip(("dx", "dy", "dz"), shift.tolist(), strict=True))])
+
+    schema = "t int, fixed int, moving int, overlap_voxels long, dx double, dy double, dz double"
+    return rows.groupBy("t", "fixed", "moving").applyInPandas(run, schema)
+
+
+def register_tiles(voxels: DataFrame, edges: DataFrame, transforms: DataFrame, voxel_xyz: tuple, anchor: int, **options) -> DataFrame:
+    """(t, p, dx, dy, dz, residual): corrections of all tiles by time point.
+
+    Measured edges (one row per tile pair and time point) are solved on the
+    driver, the worst ones pruned; the anchor stays.
+    """
+    rows = measure_edges(voxels, edges, transforms, voxel_xyz, **options).collect()
+    positions = sorted(r["p"] for r in transforms.select("p").collect())
+    out = []
+    for t in sorted({r["t"] for r in rows}):
+        own = sorted((r for r in rows if r["t"] == t), key=lambda r: (r["fixed"], r["moving"]))
+        found = [
+            {"fixed": r["fixed"], "moving": r["moving"], "overlap_voxels": r["overlap_voxels"], "shift": [r["dx"], r["dy"], r["dz"]]} for r in own
+        ]
+        solution, _, errors = solve_with_pruning(positions, found, anchor, float(np.mean(voxel_xyz)))
+        for p, v in solution.items():
+            near = [e for e, r in zip(errors, own, strict=True) if p in (r["fixed"], r["moving"]) and not np.isnan(e)]
+            out.append((t, p, *[float(x) for x in v], float(max(near)) if near else float("nan")))
+    return voxels.sparkSession.createDataFrame(out, "t int, p int, dx double, dy double, dz double, residual double")
+
+
+def deconvolve(chunks: DataFrame, psf: np.ndarray, rounds: int = 2, background: float = 110.0) -> DataFrame:
+    """Richardson-Lucy of each (t, p, c) volume; approximates a vendor method."""
+    from voxelloom.sources.voxels import CHUNK_FIELDS, block_of
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = [int((pdf[f"{a}0"] + pdf[f"n{a}"]).max()) for a in "zyx"]
+        volume = np.zeros(shape)
+        for _, row in pdf.iterrows():
+            volume[tuple(slice(int(row[f"{a}0"]), int(row[f"{a}0"] + row[f"n{a}"])) for a in "zyx")] = block_of(row)
+        out = kernels.richardson_lucy(np.maximum(volume - background, 0), psf, rounds).astype(np.float32)
+        key = {k: int(pdf[k].iloc[0]) for k in "tpc"} | {"z0": 0, "y0": 0, "x0": 0}
+        return pd.DataFrame([key | dict(zip(("nz", "ny", "nx"), shape, strict=True)) | {"dtype": "float32", "payload": out.tobytes()}])
+
+    return chunks.groupBy("t", "p", "c").applyInPandas(run, CHUNK_FIELDS)

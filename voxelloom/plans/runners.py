@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.operators import detection, flatfield, fusion, projection, regions
+from voxelloom.operators import detection, flatfield, fusion, projection, regions, registration
 from voxelloom.plans.workflow import OPERATIONS, Workflow
 
 
@@ -45,13 +45,19 @@ def run_export(spark: SparkSession, tables: dict, params: dict) -> DataFrame:
     return regions.stride_level(tables["input"], {a: factor for a in "zyx"})
 
 
+def run_registration(spark: SparkSession, tables: dict, params: dict) -> DataFrame:
+    """Needs the tables ``transforms`` and ``edges`` of the stage."""
+    anchor = int(tables["transforms"].agg(F.min("p").alias("p")).first()["p"])
+    return registration.register_tiles(tables["input"].where("c = 0"), tables["edges"], tables["transforms"], (1.0, 1.0, 1.0), anchor)
+
+
 def run_mip(spark: SparkSession, tables: dict, params: dict) -> DataFrame:
     return projection.all_projections(tables["input"])
 
 
 RUNNERS = {
     "flatfield": run_flatfield, "fusion": run_fusion, "particle_detection": run_detection, "display_pyramid": run_pyramid,
-    "volume_export": run_export, "mip_export": run_mip,
+    "volume_export": run_export, "mip_export": run_mip, "registration": run_registration,
 }
 
 

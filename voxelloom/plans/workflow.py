@@ -15,7 +15,7 @@ OPERATIONS = {
     "deconvolution": "results/deconvolution/latest/data",
     "shear_transform": "results/shear_transform/latest/data",
     "particle_detection": "results/particle_detection/latest/detections",
-    "usegment3d": "results/usegment3d/latest/data",
+    "segmentation3d": "results/segmentation3d/latest/data",
     "registration": "results/registration/latest",
     "fusion": "results/fusion/latest/data",
     "display_pyramid": "results/display_pyramid/latest",
@@ -25,9 +25,9 @@ OPERATIONS = {
     "volume_export": "results/volume_export/latest",
     "mip_export": "results/mip_export/latest",
 }
-CHAINABLE = ("flatfield", "deconvolution", "shear_transform", "usegment3d", "fusion")
+CHAINABLE = ("flatfield", "deconvolution", "shear_transform", "segmentation3d", "fusion")
 UNAVAILABLE = {
-    "usegment3d": "a GPU segmentation model", "visualization": "a viewer", "render_movie": "a viewer", "compile_movie": "a video encoder",
+    "segmentation3d": "a GPU segmentation model", "visualization": "a viewer", "render_movie": "a viewer", "compile_movie": "a video encoder",
 }
 COMMON = {"execution_order": None, "input_source": "data", "force_rerun": False}
 #: Defaults that change results.
