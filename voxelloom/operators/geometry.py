@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.session import ensure_checkpoint_dir
+
 STAGE_AXES = ("x", "y", "z")
 #: Tables of up to this many tiles are joined by broadcast; above it by cells.
 BROADCAST_TILES = 10_000
@@ -158,6 +160,7 @@ def connected_positions(edges: DataFrame, positions: DataFrame) -> DataFrame:
     Labels spread by grouped minima; every round halves paths by jumping to
     the label of the label.
     """
+    ensure_checkpoint_dir(edges.sparkSession)
     both = edges.select(F.col("fixed").alias("p"), F.col("moving").alias("q"))
     both = both.unionByName(both.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
     labels = positions.select("p", F.col("p").alias("component"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,11 @@ def build_session(app: str = "voxelloom", master: str | None = None, **conf: str
         **conf,
     }
     return builder.config(map=settings).getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; a temporary folder is set only
+    where a session, as in tests, has none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelloom-")
+        spark.sparkContext.setCheckpointDir(root)
