@@ -7,6 +7,8 @@ costs the tasks it was running.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -35,10 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[tuple] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Durable tables live as long as the driver's process."""
+    for context, path in _written:
+        with contextlib.suppress(Exception):
+            found = context._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    The table is removed when the driver's process ends in the usual way.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxelloom/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
