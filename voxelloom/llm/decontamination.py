@@ -130,15 +130,16 @@ def find_hits(
     wanted = aligned.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).distinct()
     same = source["doc_id"].eqNullSafe(F.col("w_id")) & (source["text_key"] == F.col("w_key"))
     texts = source.join(_bounded(wanted, wanted.count()), same, "left_semi").dropDuplicates(["doc_id", "text_key"])
-    texts = texts.select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), words_of(F.col("text")).alias("words"))
-    pairs = aligned.join(_bounded(items, n_items), "item").join(
-        texts, aligned["doc_id"].eqNullSafe(F.col("t_id")) & (aligned["text_key"] == F.col("t_key"))
-    )
-    low, high = F.greatest(F.lit(0), -F.col("shift")), F.least("m", F.size("words") - F.col("shift")) - 1
-    equal = F.filter(F.sequence(low, high), lambda p: F.get("words", F.col("shift") + p) == F.get("item_words", p))
-    matched = pairs.where(low <= high).select(
-        "doc_id", "text_key", "item", "item_id", "shift", "win", F.explode(equal).alias("p")
+    placed = texts.select(
+        F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), F.posexplode(words_of(F.col("text"))).alias("position", "word")
     )
+    parts_of = items.select("item", "item_id", "win", F.posexplode("item_words").alias("p", "expected"))
+    asked = aligned.join(_bounded(parts_of, shingles.count()), "item").withColumn("at", F.col("shift") + F.col("p"))
+    found = (
+        asked["doc_id"].eqNullSafe(placed["t_id"]) & (asked["text_key"] == placed["t_key"])
+        & (asked["at"] == placed["position"]) & (asked["expected"] == placed["word"])
+    )
+    matched = asked.join(placed, found).select("doc_id", "text_key", "item", "item_id", "shift", "win", "p")
     within = Window.partitionBy("doc_id", "text_key", "item", "shift")
     runs = matched.withColumn("run", F.col("p") - F.row_number().over(within.orderBy("p")))
     whole = Window.partitionBy("doc_id", "text_key", "item", "shift", "run")
