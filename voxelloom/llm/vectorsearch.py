@@ -125,11 +125,12 @@ class Index:
 def _visit(units: DataFrame, asked: DataFrame, dim: int, k: int, parts: int) -> DataFrame:
     """(query_id, id, score): the best k of each unit for each query sent there.
 
-    ``units`` (unit, id, v) and ``asked`` (unit, id, v) are sorted so that the
-    vectors of a unit come before its queries, which are then read in batches.
+    ``units`` (unit, id, v) and ``asked`` (unit, id, v, least) are sorted so
+    that the vectors of a unit come before its queries, which are then read in
+    batches.  Scores below ``least``, the k-th found so far, are not returned.
     """
-    both = units.select("unit", F.lit(0).alias("side"), "id", "v").unionByName(
-        asked.select("unit", F.lit(1).alias("side"), "id", "v")
+    both = units.select("unit", F.lit(0).alias("side"), "id", "v", F.lit(None).cast("long").alias("least")).unionByName(
+        asked.select("unit", F.lit(1).alias("side"), "id", "v", "least")
     )
     dealt = both.repartition(parts, "unit").sortWithinPartitions("unit", "side", "id")
 
@@ -141,6 +142,7 @@ def _visit(units: DataFrame, asked: DataFrame, dim: int, k: int, parts: int) ->
                 continue
             units_, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             all_ids, matrix = batch.column(2).to_numpy(), _rows(batch.column(3), dim)
+            least = batch.column(4).fill_null(np.iinfo(np.int64).min).to_numpy()
             cuts = np.flatnonzero((units_[1:] != units_[:-1]) | (sides[1:] != sides[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if units_[a] != unit:
@@ -155,12 +157,12 @@ def _visit(units: DataFrame, asked: DataFrame, dim: int, k: int, parts: int) ->
                     base_ids, base = np.concatenate(ids), np.concatenate(rows)
                 for c in range(a, b, 256):
                     q_ids, q = all_ids[c : min(b, c + 256)], matrix[c : min(b, c + 256)]
-                    yield _best(q_ids, inner_products(q, base), base_ids, k)
+                    yield _best(q_ids, inner_products(q, base), base_ids, k, least[c : min(b, c + 256)])
 
     return dealt.mapInArrow(run, "query_id long, id long, score long")
 
 
-def _best(q_ids, scores, ids, k):
+def _best(q_ids, scores, ids, k, least):
     """The k best of each row, ties to the smaller id, own id left out.
 
     ``ids`` ascend, so that one integer key orders by score and then by id.
@@ -176,8 +178,8 @@ def _best(q_ids, scores, ids, k):
         col = np.array([sorted(range(n), key=lambda j: (own[i, j], -int(scores[i, j]), j))[:take] for i in range(len(q_ids))])
     row = np.repeat(np.arange(len(q_ids)), take)
     col = col.reshape(-1)
-    other = ~own[row, col]
-    row, col = row[other], col[other]
+    kept = ~own[row, col] & (scores[row, col] >= least[row])
+    row, col = row[kept], col[kept]
     columns = [pa.array(q_ids[row]), pa.array(ids[col]), pa.array(scores[row, col])]
     return pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
 
@@ -267,12 +269,15 @@ def top_k(
                 within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 pairs = np.unique(np.column_stack([row, start + within]), axis=0)
                 picked = batch.take(pa.array(pairs[:, 0]))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), picked.column(0), picked.column(1)], names=["unit", "id", "v"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 1]), picked.column(0), picked.column(1), picked.column(2)], names=["unit", "id", "v", "least"]
+                )
 
         return run
 
-    asked = "unit long, id long, v array<double>"
-    near = _visit(units, queries.select("id", "v").mapInArrow(route(True), asked), index.dim, k, parts)
+    asked = "unit long, id long, v array<double>, least long"
+    unbounded = queries.select("id", "v", F.lit(None).cast("long").alias("score"))
+    near = _visit(units, unbounded.mapInArrow(route(True), asked), index.dim, k, parts)
     kth = _ranked(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
     bounded = common.durable(queries.join(kth, "id", "left").select("id", "v", "score"), "knn-bounded")
     found = _visit(units, bounded.mapInArrow(route(False), asked), index.dim, k, parts)
