@@ -137,6 +137,38 @@ def test_near_duplicates_of_a_star(spark):
     assert got == dict(enumerate(label))
 
 
+def test_near_duplicates_of_five_words_and_four_fifths(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(40):
+        base = [f"b{k}_{i}" for i in range(100 + 5 * k)]
+        texts += [" ".join(base), " ".join(base + [f"foot{i}" for i in range(8 + k % 24)])]
+    for k in range(6):
+        long = [f"l{k}_{i}" for i in range(1000)]
+        copy = list(long)
+        for i in rng.choice(1000, 15 + 4 * k, replace=False):
+            copy[i] = f"x{k}_{i}"
+        texts += [" ".join(long), " ".join(copy)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    want = {i: i for i in range(len(texts))}
+    want |= {i: i - 1 for i in want if i % 2 and 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1])}
+    assert 0 < sum(i != j for i, j in want.items()) < len(texts) // 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = neardup.near_duplicates(docs, percent=80, width=5)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+
+
+def test_bands_follow_the_threshold():
+    assert neardup.banding(85) == (40, 8)
+    for percent in (60, 70, 80, 85, 90, 95):
+        bands, rows = neardup.banding(percent)
+        assert bands * rows <= neardup.REGISTERS
+        assert (1 - (percent / 100) ** rows) ** bands <= neardup.MISS
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(2)
     pool = rng.integers(1, 1 << 63, 3000, dtype=np.uint64)

@@ -33,12 +33,13 @@ from voxelloom.llm import common, graph, textkit
 WIDTH = 3
 #: Documents are linked with 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BANDS, ROWS = 40, 8
-REGISTERS = BANDS * ROWS
+REGISTERS = 320
+#: Chance of sharing no band, at most, of two documents at exactly the threshold.
+MISS = 5e-6
 #: Spacing of the register values and their scale and largest value.
 BASE, SCALE, LIMIT = 1.001, 20.0, (1 << 16) - 1
-#: Estimates this far below the threshold (over 4 standard deviations) are dropped.
-SLACK = 0.085
+#: Estimates this many standard deviations below the threshold are dropped.
+DEVIATIONS = 4.26
 BLOCK = 4096
 BROADCAST_ROWS = 500_000
 
@@ -47,6 +48,20 @@ _MULTIPLY = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2)
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair at the threshold with MISS at most."""
+    for rows in range(16, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MISS:
+            return REGISTERS // rows, rows
+    return REGISTERS, 1
+
+
+def floor_of(percent: int) -> float:
+    """The least estimate that still goes to the check on full sets."""
+    at = percent / 100
+    return at - DEVIATIONS * (at * (1 - at) / REGISTERS) ** 0.5
+
+
 def shingle_sets(texts: list, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     out = []
@@ -99,9 +114,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.take_along_axis(np.broadcast_to(tried, fit.shape), fit.argmax(1)[:, None], 1)[:, 0]
 
 
-def _sketch(texts: list) -> list:
+def _sketch(texts: list, width: int) -> list:
     sizes, nodes, sketches = [], [], []
-    for s in shingle_sets(texts):
+    for s in shingle_sets(texts, width):
         sizes.append(len(s))
         if not len(s):
             nodes.append(None)
@@ -141,7 +156,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) that the full shingle sets confirm."""
     pairs = common.durable(pairs, "dup-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -164,7 +179,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
                     if key not in last:
                         if len(last) > 200:
                             last.clear()
-                        last[key] = shingle_sets([text])[0]
+                        last[key] = shingle_sets([text], width)[0]
                     sets.append(last[key])
                 common_n = len(np.intersect1d(*sets, assume_unique=True))
                 good.append(100 * common_n >= percent * (len(sets[0]) + len(sets[1]) - common_n))
@@ -181,6 +196,7 @@ def _block_pairs(live: DataFrame, labels: DataFrame, nodes: DataFrame, floor: fl
     nodes outside the leader's are the open side; it meets all nodes of the
     bucket in blocks of at most BLOCK x BLOCK.
     """
+    n_bands, n_rows = banding(percent)
     known = live.select("bkey", "band", "node", "lead").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rule = known.groupBy("bkey").agg(
         F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size"),
@@ -224,7 +240,7 @@ def _block_pairs(live: DataFrame, labels: DataFrame, nodes: DataFrame, floor: fl
             at, agree = at[rough], agree[rough]
             if not len(at):
                 continue
-            bands = agree.reshape(len(at), BANDS, ROWS).all(2)
+            bands = agree[:, : n_bands * n_rows].reshape(len(at), n_bands, n_rows).all(2)
             first = bands.argmax(1) == band  # each pair leaves one bucket only
             at = at[first]
             if not len(at):
@@ -240,13 +256,14 @@ def _block_pairs(live: DataFrame, labels: DataFrame, nodes: DataFrame, floor: fl
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
 ) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id, kept."""
+    n_bands, n_rows = banding(percent)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = {"text_key": F.xxhash64("text")}
     base = common.durable(
-        textkit.map_texts(docs, _sketch, "n long, node binary, regs binary", keep=key), "dup-sketches"
+        textkit.map_texts(docs, lambda texts: _sketch(texts, width), "n long, node binary, regs binary", keep=key), "dup-sketches"
     )
     slim = base.select("doc_id", "text_key", "n", "node")
     reps = slim.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
@@ -257,9 +274,9 @@ def near_duplicates(
     nodes = common.durable(nodes, "dup-nodes")
 
     # buckets with at least two nodes
-    at = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+    at = F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1)))
     bands = nodes.select("node", "n", "regs", at.alias("band")).select(
-        F.xxhash64("band", F.substring(F.col("regs"), F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bkey"), "band", "node", "n",
+        F.xxhash64("band", F.substring(F.col("regs"), F.col("band") * (2 * n_rows) + 1, F.lit(2 * n_rows))).alias("bkey"), "band", "node", "n",
     )
     shared = common.durable(bands.groupBy("bkey").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "dup-buckets")
     few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
@@ -274,14 +291,14 @@ def near_duplicates(
     leaders = leaders.select("bkey", F.col("top.lead.node").alias("leader"), F.col("top.n").alias("n_leader"))
     met = live.join(leaders, "bkey").where((F.col("node") != F.col("leader")) & _close(percent, F.col("n"), F.col("n_leader")))
     pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    floor = percent / 100 - SLACK
+    floor = floor_of(percent)
     pairs = common.durable(_estimated(pairs, nodes, floor), "dup-met")
-    links = _verified(pairs, nodes, docs, percent)
+    links = _verified(pairs, nodes, docs, percent, width)
     labels = common.durable(graph.components(links), "dup-labels")
 
     # what is still apart in a shared bucket
     more = _block_pairs(live, labels, nodes, floor, percent).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, nodes, docs, percent))
+    links = links.unionByName(_verified(more, nodes, docs, percent, width))
     labels = common.durable(graph.components(links), "dup-labels")
 
     placed = slim.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -294,9 +311,11 @@ def near_duplicates(
     )
 
 
-def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def remove_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
+) -> DataFrame:
     """One document of each component: the one with the smallest id."""
-    found = near_duplicates(docs, id_col, text_col, percent).where("NOT kept")
+    found = near_duplicates(docs, id_col, text_col, percent, width).where("NOT kept")
     gone = common.durable(found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "dup-gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     match = docs[id_col].eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_gone_key"))
