@@ -51,3 +51,16 @@ def test_empty_and_odd_documents(spark, sf):
             out = stage(spark, docs, sf)
             assert out.columns == docs.columns and (out.count() > 0) == (n > 0), name
         assert P.STAGES[4][1](spark, docs, sf).count() == n
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark, sf):
+    words = [f"w{i}" for i in range(80)]
+    plain, near, other = " ".join(words), " ".join([*words, "end"]), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, plain, "en", "a", 1), (1, plain, "en", "a", 1), (1, plain, "en", "b", 1), (1, near, "en", "a", 1), (2, near, "en", "a", 1)]
+    rows += [(None, other, "en", "a", 1), (None, other + " end", "en", "a", 1), (None, other, "en", "a", 1)]
+    rows += [(3, "alone with few words", "en", "a", 1), (4, None, "en", "a", 1), (4, "", "en", "a", 1), (4, "", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_dedup_stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in out.collect())
+    assert got == [(0, "o0"), (1, "w0"), (3, "al"), (4, ""), (4, ""), (4, "")]

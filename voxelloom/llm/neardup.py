@@ -255,10 +255,8 @@ def _block_pairs(live: DataFrame, labels: DataFrame, nodes: DataFrame, floor: fl
     return dealt.groupBy("bkey", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
-) -> DataFrame:
-    """Per row: doc_id, text_key, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """Per row: doc_id, text_key, n and the label of its component, null for empty sets."""
     n_bands, n_rows = banding(percent)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = {"text_key": F.xxhash64("text")}
@@ -302,7 +300,14 @@ def near_duplicates(
     labels = common.durable(graph.components(links), "dup-labels")
 
     placed = slim.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = common.durable(placed.select("doc_id", "text_key", "n", "label"), "dup-placed")
+    return common.durable(placed.select("doc_id", "text_key", "n", "label"), "dup-placed")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
+) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles, component_id, kept."""
+    placed = _placed(docs, id_col, text_col, percent, width)
     smallest = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     out = placed.join(smallest, "label", "left").withColumn("component_id", F.coalesce("smallest", "doc_id"))
     return out.select(
@@ -314,9 +319,21 @@ def near_duplicates(
 def remove_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
 ) -> DataFrame:
-    """One document of each component: the one with the smallest id."""
-    found = near_duplicates(docs, id_col, text_col, percent, width).where("NOT kept")
-    gone = common.durable(found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "dup-gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    """One row of each component: the smallest id, of its texts the smallest key.
+
+    Of equal rows and of rows that differ in other columns only, the smallest
+    stays.  Rows with empty sets are linked with nothing and all stay.
+    """
+    linked = _placed(docs, id_col, text_col, percent, width).where("label IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = linked.groupBy("label").agg(F.min(place).alias("first"))
+    keys = linked.groupBy("doc_id", "text_key", "label").agg(F.count(F.lit(1)).alias("copies"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    marked = keys.join(first, "label").withColumn("_stays", stays).where("copies > 1 OR NOT _stays")
+    marked = common.durable(marked.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), "_stays"), "dup-gone")
+    few = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
     match = docs[id_col].eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_gone_key"))
-    return docs.join(few, match, "left_anti")
+    single = docs.join(few, match, "left_anti")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    repeated = docs.join(few.where("_stays"), match).groupBy("_gone_id", "_gone_key").agg(F.min(row).alias("_row"))
+    return single.unionByName(repeated.select("_row.*"))
