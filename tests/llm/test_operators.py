@@ -321,3 +321,15 @@ def test_decontamination_repeated_words(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r["doc_id"]: r["n_hit"] for r in decontamination.contamination(docs, bench).collect()}
     assert got == {1: 18, 2: 0, 3: 11}
+
+
+def test_word_vectors_come_from_all_documents(spark):
+    rows = [(i, f"alpha beta gamma {i}") for i in range(40)] + [(None, "only seen here"), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    index = quality.index_vectors(quality.WORD_BUCKETS, quality.WORD_DIM, 5)
+    words = quality.train(docs, labels).pooler.words
+    only, seen, here = (int(textkit.tokenize([w], lower=False).hashes[0] % quality.WORD_BUCKETS) for w in (b"only", b"seen", b"here"))
+    near = index[only] + index[here]
+    assert np.allclose(words[seen], index[seen] + near / np.linalg.norm(near), atol=1e-5)
+    assert np.allclose(words[only], index[only] + index[seen] / np.linalg.norm(index[seen]), atol=1e-5)

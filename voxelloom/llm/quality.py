@@ -1,7 +1,7 @@
 """Operator 9 - quality classifier on random-indexing word vectors.
 
 Every word has a sparse random index vector; its context vector adds the index
-vectors of its neighbours in a bounded sample of documents.  Word vectors and
+vectors of its neighbours in all documents, labelled or not.  Word vectors and
 the random vectors of character trigrams are pooled per whole document and
 scored by a two-layer numpy network, whose probabilities are calibrated with a
 temperature fitted on a part of the sample that training leaves out.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm import samples, textkit
+from voxelloom.llm import common, samples, textkit
 
 FOLDS, HELD = 5, 0
 #: Labelled documents of each label that the network is fitted on, at most.
@@ -31,6 +31,8 @@ THRESHOLD = 0.3
 WORD_BUCKETS, WORD_DIM, NONZERO = 1 << 15, 48, 6
 CHAR_BUCKETS, CHAR_DIM = 1 << 12, 32
 SAMPLE_TASKS = 4
+#: Word buckets in one row of partial sums; tasks that sum, for each core.
+CONTEXT_BLOCK, CONTEXT_TASKS = 256, 4
 HIDDEN = 32
 _DOCS_AT_ONCE = 64
 
@@ -45,24 +47,25 @@ def index_vectors(buckets: int, dim: int, seed: int) -> np.ndarray:
     return out / np.float32(NONZERO**0.5)
 
 
-def context_sums(texts: list, index: np.ndarray) -> np.ndarray:
-    """Sum of the neighbours' index vectors for each word bucket."""
-    total = np.zeros_like(index)
-    for _, part in textkit.chunks(texts):
+def sparse_form(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and whole-number values of each vector's at most NONZERO entries."""
+    at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+    return at, np.rint(np.take_along_axis(index, at, 1) * NONZERO**0.5)
+
+
+def context_sums(texts: list, at: np.ndarray, values: np.ndarray, total: np.ndarray) -> None:
+    """Adds the neighbours' index vectors to ``total`` (bucket, dimension)."""
+    for _, part in textkit.chunks(texts, 1 << 19):
         t = textkit.tokenize(part, lower=False)
         if len(t.hashes) < 2:
             continue
-        ids = (t.hashes % np.uint64(len(index))).astype(np.int64)
+        ids = (t.hashes % np.uint64(len(total))).astype(np.int64)
         text = t.text_of()
         near = text[1:] == text[:-1]
         left, right = ids[:-1][near], ids[1:][near]
         for own, other in ((left, right), (right, left)):
-            order = np.argsort(own, kind="stable")
-            own, other = own[order], other[order]
-            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
-            if len(heads):
-                total[own[heads]] += np.add.reduceat(index[other], heads, axis=0)
-    return total
+            cells = (own[:, None] * total.shape[1] + at[other]).ravel()
+            total += np.bincount(cells, values[other].ravel(), total.size).reshape(total.shape)
 
 
 class Pooler:
@@ -196,26 +199,49 @@ class Model:
         return self.network.predict(self.pooler(texts))
 
 
+def learn_contexts(docs: DataFrame, index: np.ndarray) -> np.ndarray:
+    """Context sums of all documents' words, in units of a vector's entry.
+
+    Sums are whole numbers, so the order in which tasks end does not matter.
+    """
+    common.bounded_batches(docs.sparkSession)
+    at, values = sparse_form(index)
+
+    def run(batches):
+        total = np.zeros((WORD_BUCKETS, WORD_DIM))
+        for batch in batches:
+            context_sums(batch.column(0).to_pylist(), at, values, total)
+        blocks = [i for i in range(0, len(total), CONTEXT_BLOCK) if total[i : i + CONTEXT_BLOCK].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int32()), pa.array([total[i : i + CONTEXT_BLOCK].tobytes() for i in blocks], pa.binary())],
+            names=["first", "sums"],
+        )
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(b) for b in group.column("sums").to_pylist())
+        return pa.table({"first": group.column("first")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    texts = docs.where("text IS NOT NULL").select(F.encode("text", "UTF-8").alias("_text"))
+    # one partial table for each task: their number is that of the cores, not of the files
+    texts = texts.coalesce(CONTEXT_TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+    rows = texts.mapInArrow(run, "first int, sums binary").groupBy("first").applyInArrow(add, "first int, sums binary")
+    total = np.zeros((WORD_BUCKETS, WORD_DIM))
+    for r in rows.collect():  # WORD_BUCKETS vectors
+        sums = np.frombuffer(r["sums"]).reshape(-1, WORD_DIM)
+        total[r["first"] : r["first"] + len(sums)] = sums
+    return total
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fit on at most SAMPLE_PER_LABEL documents of each label."""
+    """Word vectors of all documents; fit on at most SAMPLE_PER_LABEL of each label."""
     sample = samples.labelled_sample(docs, labels, label, FOLDS, HELD, SAMPLE_PER_LABEL)
     sample = sample.coalesce(SAMPLE_TASKS)
     index = index_vectors(WORD_BUCKETS, WORD_DIM, 5)
 
-    def contexts(parts):
-        total = np.zeros_like(index)
-        for pdf in parts:
-            total += context_sums(list(pdf["text"].str.encode("utf-8")), index)
-        rows = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"bucket": rows, "vector": [total[r].tobytes() for r in rows]})
-
     words = index.copy()
-    context = np.zeros_like(index)
-    # at most SAMPLE_TASKS rows for each of WORD_BUCKETS buckets
-    for part in sample.mapInPandas(contexts, "bucket long, vector binary").collect():
-        context[part["bucket"]] += np.frombuffer(part["vector"], np.float32)
+    context = learn_contexts(docs, index)
     norms = np.linalg.norm(context, axis=1, keepdims=True)
-    words += context / np.maximum(norms, 1e-6)
+    words += (context / np.maximum(norms, 1e-6)).astype(np.float32)
     pooler = Pooler(words, index_vectors(CHAR_BUCKETS, CHAR_DIM, 6))
 
     def features(parts):
