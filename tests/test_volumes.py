@@ -132,3 +132,11 @@ def test_deconvolve_keeps_shape(spark):
     out = registration.deconvolve(_chunks(spark, volume), np.ones((1, 3, 3)), 2)
     dense = _dense(out, volume.shape)
     assert dense.shape == volume.shape and np.allclose(dense, 10, atol=1e-3)
+
+
+def test_shear_transform_covers_every_volume(spark, sf):
+    from voxelloom.queries import QUERIES
+    from voxelloom.sources.voxels import embedding_voxels
+
+    out = QUERIES["shear_transform"](spark, sf).select("t", "p", "c").distinct()
+    assert set(out.collect()) == set(embedding_voxels(spark, sf).select("t", "p", "c").distinct().collect())

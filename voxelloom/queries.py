@@ -672,7 +672,7 @@ def mutual_information(spark, sf_dir):
 def shear_transform(spark, sf_dir):
     from voxelloom.sources.voxels import to_chunks, to_voxels
 
-    chunks = to_chunks(embedding_voxels(spark, sf_dir).where("c = 0"), (5, 8, 8), "float32")
+    chunks = to_chunks(embedding_voxels(spark, sf_dir), (5, 8, 8), "float32")
     out = shear.transform(chunks, (10, 8, 8), (2.0, 1.0, 1.0), shear.ShearParams(shear_xz=0.25), (10, 8, 8))
     return to_voxels(out).withColumn("v", F.round("v", 3))
 
