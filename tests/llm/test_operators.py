@@ -13,7 +13,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, lm, mixing, neardup, quality, sharding, textkit, tokencounts, toxicity, vectorsearch
+from voxelloom.llm import decontamination, langid, lm, mixing, neardup, quality, sharding, textkit, tokencounts, toxicity, vectorsearch
 from voxelloom.llm.balanced_tree import BalancedTree
 from voxelloom.llm.oracles import ORACLES
 from voxelloom.llm.queries import QUERIES
@@ -333,3 +333,15 @@ def test_word_vectors_come_from_all_documents(spark):
     near = index[only] + index[here]
     assert np.allclose(words[seen], index[seen] + near / np.linalg.norm(near), atol=1e-5)
     assert np.allclose(words[only], index[only] + index[seen] / np.linalg.norm(index[seen]), atol=1e-5)
+
+
+def test_dictionary_covers_bodies_of_all_sampled_texts():
+    rng = np.random.default_rng(6)
+    word = lambda first: "".join(chr(first + int(k)) for k in rng.integers(0, 20, 6))
+    header = " ".join(word(0x4E00) for _ in range(60))
+    bodies = [[word(0x4E00) for _ in range(50)] for _ in range(400)]
+    made = langid.build_dictionary([f"{header} {' '.join(b)}" for b in bodies])
+    assert len(made) <= langid.DICTIONARY_BYTES + 3
+    text = set(made.decode().split())
+    assert sum(any(w in text for w in b) for b in bodies) >= 390
+    assert made.decode().count(header[:30]) <= 1

@@ -15,6 +15,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -32,6 +33,8 @@ FOLDS, HELD = 3, 1
 DICTIONARY_DOCS = 400
 DICTIONARY_BYTES = 110_000
 WORD_LIST_BYTES = 30_000
+#: About so many bytes of a text stay together in the sample.
+PIECE_BYTES = 120
 LEVEL = 9
 #: A margin below this many bytes is narrow.
 MIN_MARGIN = 2
@@ -44,6 +47,39 @@ def letters(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
+def pieces(cleaned: str) -> list[str]:
+    """The whole text in runs of about PIECE_BYTES, in an order given by their hash."""
+    size = max(1, PIECE_BYTES * len(cleaned) // max(1, len(cleaned.encode())))
+    out, at = set(), 0
+    while at < len(cleaned):
+        end = cleaned.find(" ", at + size, at + 2 * size)
+        end = end if end > 0 else at + size
+        out.add(cleaned[at:end].strip())
+        at = end
+    return sorted(out - {""}, key=lambda p: hashlib.blake2b(p.encode(), digest_size=8).digest())
+
+
+def spread_sample(cleaned: list[str], room: int) -> str:
+    """Distinct pieces from all over the texts: one of each text in turn, while there is room."""
+    seen: set[str] = set()
+    taken: list[str] = []
+    waiting = [iter(pieces(t)) for t in cleaned]
+    while waiting:
+        left = []
+        for own in waiting:
+            piece = next((p for p in own if p not in seen), None)
+            if piece is None:
+                continue
+            room -= len(piece.encode()) + 1
+            if room < 0:
+                return " ".join(taken)
+            seen.add(piece)
+            taken.append(piece)
+            left.append(own)
+        waiting = left
+    return " ".join(taken)
+
+
 def build_dictionary(texts: list[str]) -> bytes:
     """Sample text followed by frequent words, the most frequent at the end."""
     cleaned = [letters(t) for t in texts]
@@ -54,8 +90,7 @@ def build_dictionary(texts: list[str]) -> bytes:
         if size > WORD_LIST_BYTES or n < 2:
             break
         listed.append(word)
-    share = max(200, (DICTIONARY_BYTES - WORD_LIST_BYTES) // max(1, len(cleaned)))
-    sample = " ".join(t[:share] for t in cleaned).encode()[: DICTIONARY_BYTES - WORD_LIST_BYTES]
+    sample = spread_sample(cleaned, DICTIONARY_BYTES - WORD_LIST_BYTES).encode()
     return b" " + sample + b" " + " ".join(reversed(listed)).encode() + b" "
 
 
