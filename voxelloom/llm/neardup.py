@@ -9,9 +9,12 @@ that are larger, smaller and equal and then confirmed on the full sets.
 
 Groups are never expanded into all pairs.  Documents of equal sets are one
 node.  In each band bucket every node is compared with one leader, the node
-that collides most; what that leaves unconnected is compared, register against
-register inside bounded blocks, with the other nodes of its buckets, and only
-pairs that look similar and lie in different components leave the block.
+that collides most.  What that leaves unconnected meets, register against
+register inside bounded blocks, the other nodes of its buckets in three rounds:
+first only a spanning forest of the likeliest links between components leaves a
+block, then the best few links of each node, then all that still lie between
+components.  Each round's links are confirmed on full sets before the next, so
+no link between different components is lost.
 
 Defined results
     * null text or text without words: empty set, linked with nothing.
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import common, graph, textkit
 
-WIDTH = 3
+WIDTH = 5
 #: Documents are linked with 100 * intersection >= PERCENT * union.
-PERCENT = 85
+PERCENT = 80
 REGISTERS = 320
 #: Chance of sharing no band, at most, of two documents at exactly the threshold.
 MISS = 5e-6
@@ -40,8 +43,16 @@ MISS = 5e-6
 BASE, SCALE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: Estimates this many standard deviations below the threshold are dropped.
 DEVIATIONS = 4.26
-BLOCK = 4096
-BROADCAST_ROWS = 500_000
+#: Nodes of each side that meet in one block.
+BLOCK = 2048
+#: Links that leave a block for each open node, by round; None: all.
+ROUNDS = (1, 16, None)
+#: Tasks that the members of one hub may be dealt to for the check.
+SALTS = 64
+#: Rows of up to 40 bytes that are broadcast (about 20 MB as a hash table).
+BROADCAST_ROWS = 200_000
+#: Nodes with more than this share of all rows, so fewer than its inverse, are broadcast.
+HOT_SHARE = 1 / 1024
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -138,178 +149,247 @@ def _close(percent: int, n_a, n_b):
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
+def _maybe_broadcast(rows: DataFrame) -> DataFrame:
+    """``rows`` (narrow, durable) with a broadcast hint if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _canonical(pairs: DataFrame) -> DataFrame:
+    """(hub, member) pairs once each, as (a, b, hub) with a < b."""
+    ends = F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")
+    return pairs.groupBy(*ends).agg(F.min("hub").alias("hub"))
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least ``floor``."""
+    """The pairs (a, b, hub) whose estimated similarity is at least ``floor``."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "hub", "n_a", "n_b", "r_a", "r_b")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-            good = estimate(_matrix(batch.column(4)), _matrix(batch.column(5)), n_a, n_b) >= floor
+            n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (3, 4))
+            good = estimate(_matrix(batch.column(5)), _matrix(batch.column(6)), n_a, n_b) >= floor
             kept = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(3)], names=["a", "b", "hub"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary, hub binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) that the full shingle sets confirm."""
-    pairs = common.durable(pairs, "dup-pairs")
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of every node of ``pairs``."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = common.durable(wanted.join(nodes, "node").select("node", F.col("rep").alias("w_id"), F.col("text_key").alias("w_key")), "dup-wanted")
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    small = _maybe_broadcast(wanted)
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     texts = source.join(small, source["doc_id"].eqNullSafe(small["w_id"]) & (source["key"] == small["w_key"]))
-    texts = common.durable(texts.select("node", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["node"]), "dup-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
+    return common.durable(texts.select("node", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["node"]), "dup-texts")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) that the full shingle sets confirm.
+
+    The text of a hub goes once to each task that has members of it and is
+    followed there by the members' texts.
+    """
+    texts = _texts_of(pairs, nodes, docs)
+    member = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    dealt = pairs.select("hub", member.alias("member")).withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
+    hubs = dealt.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub")
+    members = dealt.join(texts.withColumnRenamed("node", "member"), "member")
+    columns = ["hub", "salt", "member", "text"]
+    rows = hubs.withColumn("member", F.lit(None).cast("binary")).select(columns).unionByName(members.select(columns))
+    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
 
     def run(batches):
-        last: dict = {}
+        own = None
         for batch in batches:
-            a, b, t_a, t_b = (batch.column(i).to_pylist() for i in range(4))
-            good = []
-            for key_a, key_b, x, y in zip(a, b, t_a, t_b, strict=True):
-                sets = []
-                for key, text in ((key_a, x), (key_b, y)):
-                    if key not in last:
-                        if len(last) > 200:
-                            last.clear()
-                        last[key] = shingle_sets([text], width)[0]
-                    sets.append(last[key])
-                common_n = len(np.intersect1d(*sets, assume_unique=True))
-                good.append(100 * common_n >= percent * (len(sets[0]) + len(sets[1]) - common_n))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
-
-    return common.durable(both.mapInArrow(run, "a binary, b binary"), "dup-links")
-
-
-def _block_pairs(live: DataFrame, labels: DataFrame, nodes: DataFrame, floor: float, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and look similar.
-
-    ``live`` (bkey, band, node).  In each bucket of several components the
-    nodes outside the leader's are the open side; it meets all nodes of the
-    bucket in blocks of at most BLOCK x BLOCK.
+            hub, other, text = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            a, b = [], []
+            for h, m, s in zip(hub, other, shingle_sets(text, width), strict=True):
+                if m is None:
+                    own = s
+                    continue
+                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                shared = int((own[at] == s).sum())
+                if 100 * shared >= percent * (len(own) + len(s) - shared):
+                    a.append(h)
+                    b.append(m)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _candidates(side: tuple, other: tuple, band: int, banded: tuple[int, int], floor: float, percent: int):
+    """For each open node its (places in ``other``, estimates) above ``floor``.
+
+    Only nodes of another label count that do not lead the bucket, which every
+    node has met, and whose first common band this bucket is.
     """
-    n_bands, n_rows = banding(percent)
-    known = live.select("bkey", "band", "node", "lead").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    _, codes, n, regs, _ = side
+    _, codes_y, n_y, regs_y, leads = other
+    n_bands, n_rows = banded
+    for i in range(len(codes)):
+        at = np.flatnonzero((codes_y != codes[i]) & ~leads & (np.minimum(n_y, n[i]) * 100 >= np.maximum(n_y, n[i]) * percent))
+        if len(at):
+            agree = regs_y[at] == regs[i]
+            rough = agree.mean(1) >= floor - 0.05
+            at, agree = at[rough], agree[rough]
+        if len(at):
+            bands = agree[:, : n_bands * n_rows].reshape(len(at), n_bands, n_rows).all(2)
+            at = at[bands.argmax(1) == band]
+        if len(at):
+            close = estimate(np.repeat(regs[i : i + 1], len(at), 0), regs_y[at], np.full(len(at), n[i]), n_y[at])
+            good = close >= floor
+            if good.any():
+                yield i, at[good], close[good]
+
+
+def _chosen(found, codes: np.ndarray, codes_y: np.ndarray, most: int | None):
+    """(i, j) of the links that leave a block in the round of ``most``."""
+    if most != 1:
+        for i, at, close in found:
+            yield from ((i, j) for j in at[np.argsort(-close, kind="stable")[:most]])
+        return
+    best: dict[tuple, tuple] = {}
+    for i, at, close in found:
+        for k in np.argsort(close, kind="stable"):
+            key = tuple(sorted((codes[i], codes_y[at[k]])))
+            if key not in best or best[key][0] < close[k]:
+                best[key] = (close[k], i, at[k])
+    forest = graph.Forest()
+    for (x, y), (_, i, j) in sorted(best.items(), key=lambda item: -item[1][0]):
+        if forest.join(x, y):
+            yield i, j
+
+
+def _block_pairs(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (hub, member) of different components that share a bucket and look similar.
+
+    In each bucket of several components the nodes outside the leader's are
+    the open side; it meets all nodes of the bucket in blocks of at most BLOCK
+    x BLOCK.  ``most`` is the round's number of links for each open node.
+    """
+    banded, floor = banding(percent), floor_of(percent)
+    known = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rule = known.groupBy("bkey").agg(
         F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size"),
-        F.max_by("label", "lead").alias("main"),
+        F.max(F.when(F.col("leads"), F.col("label"))).alias("main"),
     ).where("l0 <> l1 AND size > 2")  # two nodes have met already
-    open_rows = known.join(rule.select("bkey", "size", "main"), "bkey")
+    rule = _maybe_broadcast(common.durable(rule.select("bkey", "size", "main"), "dup-open"))
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = open_rows.join(nodes.select("node", "n", "regs"), "node").withColumn("blocks", blocks).withColumn("own", own)
+    rows = known.join(rule, "bkey").join(nodes.select("node", "regs"), "node").withColumn("blocks", blocks).withColumn("own", own)
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["bkey", "band", "node", "label", "n", "regs"]
+    columns = ["bkey", "band", "node", "label", "n", "leads", "regs"]
     seekers = rows.where("label <> main").select(*columns, F.lit(True).alias("seeks"), F.col("own").alias("x"), F.explode(every).alias("y"))
     others = rows.select(*columns, F.lit(False).alias("seeks"), F.explode(every).alias("x"), F.col("own").alias("y"))
-    dealt = seekers.unionByName(others)
 
     def run(group: pa.Table) -> pa.Table:
-        seeks = group.column("seeks").to_numpy()
+        seeks, codes = group.column("seeks").to_numpy(), {}
         sides = []
         for flag in (True, False):
-            part = group.filter(pa.array(seeks == flag))
-            part = part.combine_chunks()
+            part = group.filter(pa.array(seeks == flag)).combine_chunks()
+            own_codes = np.array([codes.setdefault(v, len(codes)) for v in part.column("label").to_pylist()], np.int64)
             sides.append(
                 (
-                    part.column("node").to_pylist(), part.column("label").to_pylist(),
-                    part.column("n").to_numpy().astype(float),
+                    part.column("node").to_pylist(), own_codes, part.column("n").to_numpy().astype(float),
                     np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS),
+                    part.column("leads").to_numpy(zero_copy_only=False).astype(bool),
                 )
             )
-        (ids, labels_x, n_x, regs_x), (other_ids, labels_y, n_y, regs_y) = sides
-        band = group.column("band")[0].as_py()
-        names = {label: i for i, label in enumerate(set(labels_y) | set(labels_x))}
-        code_x, code_y = (np.array([names[v] for v in side], np.int64) for side in (labels_x, labels_y))
-        found_a, found_b = [], []
-        for i, node in enumerate(ids):
-            fit = (code_y != code_x[i]) & (np.minimum(n_y, n_x[i]) * 100 >= np.maximum(n_y, n_x[i]) * percent)
-            at = np.flatnonzero(fit)
-            if not len(at):
-                continue
-            agree = regs_y[at] == regs_x[i]
-            rough = agree.mean(1) >= floor - 0.05
-            at, agree = at[rough], agree[rough]
-            if not len(at):
-                continue
-            bands = agree[:, : n_bands * n_rows].reshape(len(at), n_bands, n_rows).all(2)
-            first = bands.argmax(1) == band  # each pair leaves one bucket only
-            at = at[first]
-            if not len(at):
-                continue
-            good = estimate(np.repeat(regs_x[i : i + 1], len(at), 0), regs_y[at], np.full(len(at), n_x[i]), n_y[at]) >= floor
-            for j in at[good]:
-                pair = sorted((node, other_ids[j]))
-                found_a.append(pair[0])
-                found_b.append(pair[1])
-        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+        side, other = sides
+        found = _candidates(side, other, group.column("band")[0].as_py(), banded, floor, percent)
+        links = list(_chosen(found, side[1], other[1], most))
+        return pa.table({"hub": pa.array([other[0][j] for _, j in links], pa.binary()), "member": pa.array([side[0][i] for i, _ in links], pa.binary())})
 
-    return dealt.groupBy("bkey", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
+    return seekers.unionByName(others).groupBy("bkey", "x", "y").applyInArrow(run, "hub binary, member binary")
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """Per row: doc_id, text_key, n and the label of its component, null for empty sets."""
-    n_bands, n_rows = banding(percent)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    key = {"text_key": F.xxhash64("text")}
-    base = common.durable(
-        textkit.map_texts(docs, lambda texts: _sketch(texts, width), "n long, node binary, regs binary", keep=key), "dup-sketches"
+def _nodes(base: DataFrame) -> DataFrame:
+    """One row for each distinct set: its smallest row, copies, smallest id and registers."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    nodes = base.where("n > 0").groupBy("node").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs")
     )
-    slim = base.select("doc_id", "text_key", "n", "node")
-    reps = slim.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    reps = reps.select("node", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"))
-    rows = base.select(F.col("node").alias("b_node"), F.col("doc_id").alias("b_id"), F.col("text_key").alias("b_key"), "n", "regs")
-    match = (rows["b_node"] == reps["node"]) & rows["b_id"].eqNullSafe(reps["rep"]) & (rows["b_key"] == reps["text_key"])
-    nodes = rows.join(reps, match).select("node", "rep", "text_key", "n", "regs").dropDuplicates(["node"])
-    nodes = common.durable(nodes, "dup-nodes")
-
-    # buckets with at least two nodes
+    return nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "copies", "n", "regs")
+
+
+def _buckets(nodes: DataFrame, percent: int) -> DataFrame:
+    """(bkey, band, node, n, leader, n_leader, leads) of buckets with at least two nodes."""
+    n_bands, n_rows = banding(percent)
     at = F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1)))
     bands = nodes.select("node", "n", "regs", at.alias("band")).select(
         F.xxhash64("band", F.substring(F.col("regs"), F.col("band") * (2 * n_rows) + 1, F.lit(2 * n_rows))).alias("bkey"), "band", "node", "n",
     )
     shared = common.durable(bands.groupBy("bkey").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "dup-buckets")
-    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    live = common.durable(bands.join(few, "bkey"), "dup-live")
-
+    live = common.durable(bands.join(_maybe_broadcast(shared), "bkey"), "dup-live")
     # every node meets the leader of its bucket: the one that collides most
     weight = live.groupBy("node").agg(F.sum("size").alias("weight"))
-    live = common.durable(
-        live.join(weight, "node").select("bkey", "band", "node", "n", F.struct("weight", "node").alias("lead")), "dup-weighed"
-    )
-    leaders = live.groupBy("bkey").agg(F.max(F.struct("lead", "n")).alias("top"))
-    leaders = leaders.select("bkey", F.col("top.lead.node").alias("leader"), F.col("top.n").alias("n_leader"))
-    met = live.join(leaders, "bkey").where((F.col("node") != F.col("leader")) & _close(percent, F.col("n"), F.col("n_leader")))
-    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    floor = floor_of(percent)
-    pairs = common.durable(_estimated(pairs, nodes, floor), "dup-met")
-    links = _verified(pairs, nodes, docs, percent, width)
-    labels = common.durable(graph.components(links), "dup-labels")
+    leaders = live.join(weight, "node").groupBy("bkey").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
+    leaders = leaders.select("bkey", F.col("top.node").alias("leader"), F.col("top.n").alias("n_leader"))
+    led = live.join(leaders, "bkey").withColumn("leads", F.col("node") == F.col("leader"))
+    return common.durable(led.drop("size"), "dup-led")
+
+
+def _linked(nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(node, label) of every node with a link; label: smallest node of its component."""
+    live, floor = _buckets(nodes, percent), floor_of(percent)
+    met = live.where(~F.col("leads") & _close(percent, F.col("n"), F.col("n_leader")))
+    met = _canonical(met.select(F.col("leader").alias("hub"), F.col("node").alias("member")))
+    tested = common.durable(_estimated(met, nodes, floor), "dup-met")
+    labels = common.durable(graph.components(_verified(tested, nodes, docs, percent, width)), "dup-labels")
+    for most in ROUNDS:
+        found = common.durable(_canonical(_block_pairs(live, labels, nodes, percent, most)), "dup-found")
+        if found.isEmpty():
+            break
+        fresh = common.durable(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "dup-fresh")
+        if fresh.isEmpty():
+            continue
+        links = _verified(fresh, nodes, docs, percent, width)
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = common.durable(graph.components(known.unionByName(links)), "dup-labels")
+        tested = tested.unionByName(fresh)
+    return labels
 
-    # what is still apart in a shared bucket
-    more = _block_pairs(live, labels, nodes, floor, percent).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, nodes, docs, percent, width))
-    labels = common.durable(graph.components(links), "dup-labels")
 
-    placed = slim.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return common.durable(placed.select("doc_id", "text_key", "n", "label"), "dup-placed")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """Per row: doc_id, text_key, n and of its component, if it has one, the
+    smallest id (``component_id``) and smallest row (``first``)."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    key = {"text_key": F.xxhash64("text")}
+    base = common.durable(
+        textkit.map_texts(docs, lambda texts: _sketch(texts, width), "n long, node binary, regs binary", keep=key), "dup-sketches"
+    )
+    nodes = common.durable(_nodes(base), "dup-nodes")
+    labels = _linked(nodes, docs, percent, width)
+
+    # the answer is found on nodes and then given to rows
+    place = F.struct(F.col("rep").isNull().alias("last"), F.col("rep").alias("doc_id"), "text_key")
+    labelled = nodes.select("node", "rep", "text_key", "copies").join(labels, "node", "left").where("label IS NOT NULL OR copies > 1")
+    labelled = common.durable(labelled.withColumn("label", F.coalesce("label", "node")), "dup-labelled")
+    groups = labelled.groupBy("label").agg(F.min("rep").alias("component_id"), F.min(place).alias("first"))
+    answers = labelled.select("node", "copies", "label").join(_maybe_broadcast(common.durable(groups, "dup-groups")), "label")
+    answers = common.durable(answers.drop("label"), "dup-answers")
+    slim = base.select("doc_id", "text_key", "n", "node")
+    least = slim.count() * HOT_SHARE
+    hot = answers.where(F.col("copies") > least).select("node", F.struct("component_id", "first").alias("hot"))
+    rest = answers.where(F.col("copies") <= least).select(F.col("node").alias("key"), F.struct("component_id", "first").alias("cold"))
+    rows = slim.join(F.broadcast(hot), "node", "left")
+    # rows that need no partner are spread by their own identity
+    spread = F.concat(F.lit("-").cast("binary"), F.xxhash64("doc_id", "text_key").cast("string").cast("binary"))
+    rows = rows.withColumn("key", F.when(F.col("hot").isNull() & F.col("node").isNotNull(), F.col("node")).otherwise(spread))
+    out = rows.join(rest, "key", "left").withColumn("own", F.coalesce("hot", "cold"))
+    return out.select("doc_id", "text_key", "n", "own.component_id", "own.first")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
 ) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id, kept."""
-    placed = _placed(docs, id_col, text_col, percent, width)
-    smallest = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    out = placed.join(smallest, "label", "left").withColumn("component_id", F.coalesce("smallest", "doc_id"))
+    out = _grouped(docs, id_col, text_col, percent, width).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
@@ -324,14 +404,12 @@ def remove_near_duplicates(
     Of equal rows and of rows that differ in other columns only, the smallest
     stays.  Rows with empty sets are linked with nothing and all stay.
     """
-    linked = _placed(docs, id_col, text_col, percent, width).where("label IS NOT NULL")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    first = linked.groupBy("label").agg(F.min(place).alias("first"))
-    keys = linked.groupBy("doc_id", "text_key", "label").agg(F.count(F.lit(1)).alias("copies"))
+    linked = _grouped(docs, id_col, text_col, percent, width).where("first IS NOT NULL")
+    keys = linked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("first").alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    marked = keys.join(first, "label").withColumn("_stays", stays).where("copies > 1 OR NOT _stays")
+    marked = keys.withColumn("_stays", stays).where("copies > 1 OR NOT _stays")
     marked = common.durable(marked.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), "_stays"), "dup-gone")
-    few = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+    few = _maybe_broadcast(marked)
     match = docs[id_col].eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_gone_key"))
     single = docs.join(few, match, "left_anti")
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
