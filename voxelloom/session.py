@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,8 +25,15 @@ def build_session(app: str = "voxelloom", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a temporary folder is set only
-    where a session, as in tests, has none."""
+    """Checkpoints go to spark.checkpoint.dir.
+
+    A temporary folder is set only where a session has none and its executors
+    are threads of this process, as in tests; on a cluster that is an error.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelloom-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="voxelloom-")
         spark.sparkContext.setCheckpointDir(root)
