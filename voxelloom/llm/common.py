@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one where none is set."""
+    """The cluster's shared scratch folder.
+
+    Where none is set, a session whose executors are threads of this process
+    (master ``local``) gets a temporary one; on a cluster that is an error, as
+    executors would not see the driver's folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="voxelloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -40,13 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple] = []
 
 
-@atexit.register
-def _remove_written() -> None:
-    """Durable tables live as long as the driver's process."""
-    for context, path in _written:
+def release(first: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the durable tables written since there were ``first``, but for
+    those that ``keep`` reads."""
+    needed = {f.rsplit("/", 1)[0] for f in keep.inputFiles()} if keep is not None else set()
+    stays = []
+    for context, path in _written[first:]:
+        if any(n.endswith(path.removeprefix("file://")) for n in needed):
+            stays.append((context, path))
+            continue
         with contextlib.suppress(Exception):
             found = context._jvm.org.apache.hadoop.fs.Path(path)
             found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
+    _written[first:] = stays
+
+
+#: Durable tables live as long as the driver's process at most.
+atexit.register(release)
+
+
+def written() -> int:
+    """How many durable tables there are, for a later :func:`release`."""
+    return len(_written)
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
@@ -65,7 +88,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches near 4 MB, unless the session says otherwise.
 
     The default of 64 MB, held in several copies by every task and its Python
-    worker, is what long texts would fill.
+    worker, is what long texts would fill.  The setting is read when a plan
+    runs, so it stays with the session.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64m", "64MB", "67108864"):
