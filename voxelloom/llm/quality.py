@@ -8,6 +8,7 @@ temperature fitted on a part of the sample that training leaves out.
 
 Defined results
     * null or empty text: the score of a document without words.
+    * labels other than 0 and 1, null ids and held-out rows are not learnt from.
     * no labelled rows: 0.5 for all; one label only: that label's share,
       kept off 0 and 1.
     * repeated rows are scored alike; other columns never matter.
@@ -245,19 +246,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     pooler = Pooler(words, index_vectors(CHAR_BUCKETS, CHAR_DIM, 6))
 
     def features(parts):
+        ids, y, x = [], [], []
         for pdf in parts:
-            pooled = pooler(list(pdf["text"].str.encode("utf-8")))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [r.tobytes() for r in pooled]})
-
-    rows = sample.mapInPandas(features, "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
-    if not rows:
+            ids.append(pdf["doc_id"].to_numpy(np.int64))
+            y.append(pdf["label"].to_numpy(np.int32))
+            x.append(pooler(list(pdf["text"].str.encode("utf-8"))))
+        if ids:  # one matrix for each task
+            yield pd.DataFrame({k: [np.concatenate(v).tobytes()] for k, v in (("ids", ids), ("y", y), ("x", x))})
+
+    parts = sample.where("label IN (0, 1)").mapInPandas(features, "ids binary, y binary, x binary").collect()
+    if not parts:
+        return Model()
+    ids, y, x = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in (("ids", np.int64), ("y", np.int32), ("x", np.float32)))
+    x = x.reshape(len(ids), -1)
+    order = np.lexsort((*x.T[::-1], y, ids))  # whichever task was first
+    y, x = y[order].astype(np.float32), x[order]
+    if not len(y):
         return Model()
-    y = np.array([r["label"] for r in rows], np.float32)
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows])
     if y.min() == y.max():
         return Model(constant=float(y.sum() + 1) / (len(y) + 2))
-    by_label = labels.groupBy(F.col(label).cast("int").alias("label")).count().where("label IN (0, 1)")
+    learnt = labels.where(F.col("doc_id").isNotNull() & (common.fold_of("doc_id", FOLDS) != HELD))
+    by_label = learnt.groupBy(F.col(label).cast("int").alias("label")).count().where("label IN (0, 1)")
     shares = {r["label"]: r["count"] for r in by_label.collect()}
     n = {k: max(1.0, float((y == k).sum())) for k in (0, 1)}
     total = max(1, sum(shares.values()))

@@ -14,12 +14,12 @@ def labelled_sample(
     """(doc_id, label, text) of at most ``per_class`` rows for each label.
 
     Only rows outside the held-out fold take part, those with the smallest
-    hash of the id first.  Null ids, labels and texts are left out; an id that
-    has several labels counts with the smallest.
+    hash of the id first.  Null ids, labels and texts and labels other than 0
+    and 1 are left out; an id that has several labels counts with the smallest.
     """
     common.bounded_batches(docs.sparkSession)
     known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .where(common.fold_of("doc_id", folds) != held)
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
