@@ -18,17 +18,31 @@ AXIS_ALIASES = {
 }
 
 
-def _last_number(path: Column, pattern: str) -> Column:
-    return F.try_element_at(F.regexp_extract_all(path, F.lit(pattern), F.lit(1)), F.lit(-1)).cast("int")
+def stem(path: Column) -> Column:
+    """The last part of a path without its last suffix."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]+$", "")
+
+
+def _first_number(text: Column, pattern: str) -> Column:
+    """The first match's number, null where there is none."""
+    return F.regexp_extract(text, pattern, 1).try_cast("int")
 
 
 def tiff_indices(path: Column) -> dict[str, Column]:
-    """t, p, c of an acquisition file name; absent numbers are 0."""
-    part = lambda p: _last_number(path, p)
+    """t, p, c of an acquisition file; absent numbers are 0.
+
+    The position is that of the last whole path part ``Position<n>``; every
+    other mark is looked for in the stem of the file, the first one counts.
+    Single letters must stand between hyphens, underscores or ends.
+    """
+    folders = F.filter(F.split(path, "/"), lambda x: x.rlike(r"(?i)^Position\d+$"))
+    folder = F.try_element_at(folders, F.lit(-1))
+    name = stem(path)
+    letter = lambda x: _first_number(name, rf"(?i)(?:^|[_-]){x}(\d+)(?:[_-]|$)")
     return {
-        "t": F.coalesce(part(r"(?i)CH\d+_(\d+)"), part(r"(?i)_T(\d+)_"), F.lit(0)),
-        "p": F.coalesce(part(r"(?i)Position(\d+)"), part(r"(?i)_P(\d+)_"), F.lit(0)),
-        "c": F.coalesce(part(r"(?i)CH(\d+)"), part(r"(?i)_C(\d+)_"), F.lit(0)),
+        "t": F.coalesce(_first_number(name, r"(?i)CH\d+_(\d+)"), letter("T"), F.lit(0)),
+        "p": F.coalesce(_first_number(folder, r"(\d+)$"), letter("P"), F.lit(0)),
+        "c": F.coalesce(_first_number(name, r"(?i)CH(\d+)"), letter("C"), F.lit(0)),
     }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,13 +82,24 @@ def apply_gains(voxels: DataFrame, gains: DataFrame) -> DataFrame:
 def chunk_tile_pairs(chunks: DataFrame, boxes: DataFrame) -> DataFrame:
     """Output chunks with the tiles whose boxes overlap them strictly.
 
-    One row per tile is broadcast where there are few; range predicates drop
-    touching boxes.
+    Both sides are dealt to cells of the size of the largest chunk, so the join
+    is one of equal keys; a pair is kept in the cell of its overlap's corner.
+    Touching boxes do not overlap.
     """
+    size = chunks.agg(*[F.max(F.col(f"chunk_max_{a}") - F.col(f"chunk_min_{a}")).alias(a) for a in "xyz"]).first()
     match = F.lit(True)
     for a in "xyz":
+        step = F.lit(float(size[a] or 1.0))
+        for side, low, high in (("c", f"chunk_min_{a}", f"chunk_max_{a}"), ("b", f"min_{a}", f"max_{a}")):
+            cells = F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))).alias(f"_{side}{a}")
+            if side == "c":
+                chunks = chunks.select("*", cells)
+            else:
+                boxes = boxes.select("*", cells)
+        corner = F.floor(F.greatest(f"min_{a}", f"chunk_min_{a}") / step)
+        match = match & (F.col(f"_c{a}") == F.col(f"_b{a}")) & (F.col(f"_c{a}") == corner)
         match = match & (F.col(f"min_{a}") < F.col(f"chunk_max_{a}")) & (F.col(f"max_{a}") > F.col(f"chunk_min_{a}"))
-    return chunks.join(F.broadcast(boxes), match)
+    return chunks.join(boxes, match).drop(*[f"_{side}{a}" for side in "cb" for a in "xyz"])
 
 
 def chunk_memory(chunks: DataFrame) -> DataFrame:
@@ -96,14 +108,18 @@ def chunk_memory(chunks: DataFrame) -> DataFrame:
 
 
 def stitch_profile(width: int, tile: int, tiles: int, overlap: float, floor: float) -> list[float]:
-    """Cosine ramp on inner edges only, never below ``floor``."""
-    ramp = max(1, round(width * overlap))
-    out = []
-    for i in range(width):
-        w = 1.0
-        if tile > 0 and i < ramp:
-            w = min(w, 0.5 - 0.5 * math.cos(math.pi * (i + 0.5) / ramp))
-        if tile < tiles - 1 and i >= width - ramp:
-            w = min(w, 0.5 - 0.5 * math.cos(math.pi * (width - i - 0.5) / ramp))
-        out.append(max(w, floor))
-    return out
+    """Cosine ramp from 0 to 1 on inner edges only, never below ``floor`` there.
+
+    All ones for a single tile, no overlap or a width of one.  Weights are
+    float32 values.
+    """
+    out = np.ones(width, np.float32)
+    if tiles <= 1 or overlap <= 0 or width <= 1:
+        return out.tolist()
+    n = max(1, min(round(width * overlap), width - 1))
+    ramp = np.maximum(0.5 - 0.5 * np.cos(np.linspace(0, np.pi, n, dtype=np.float32)), np.float32(min(max(floor, 0.0), 1.0)))
+    if tile > 0:
+        out[:n] = ramp
+    if tile < tiles - 1:
+        out[-n:] = ramp[::-1]
+    return out.tolist()

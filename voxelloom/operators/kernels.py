@@ -9,9 +9,12 @@ import numpy as np
 SIGMA_PER_FWHM = 2.354820045
 
 
-def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
-    """Samples within ``truncate`` sigmas that sum to 1."""
-    radius = int(truncate * sigma + 0.5)
+def gaussian_kernel(sigma: float) -> np.ndarray:
+    """Samples within ceil(5 sigma) that sum to 1."""
+    return _bell(sigma, math.ceil(5 * sigma))
+
+
+def _bell(sigma: float, radius: int) -> np.ndarray:
     x = np.arange(-radius, radius + 1)
     w = np.exp(-0.5 * (x / max(sigma, 1e-12)) ** 2)
     return w / w.sum()
@@ -29,12 +32,12 @@ def convolve_axis(block: np.ndarray, kernel: np.ndarray, axis: int, mode: str =
 
 
 def gaussian(block: np.ndarray, sigma, mode: str = "edge") -> np.ndarray:
-    """Separable smoothing; ``sigma`` is one number or one for each axis."""
+    """Separable smoothing within 4 sigmas; ``sigma`` is one number or one for each axis."""
     sigmas = [sigma] * block.ndim if np.isscalar(sigma) else list(sigma)
     out = block.astype(np.float64)
     for axis, s in enumerate(sigmas):
         if s > 0:
-            out = convolve_axis(out, gaussian_kernel(s), axis, mode)
+            out = convolve_axis(out, _bell(s, int(4 * s + 0.5)), axis, mode)
     return out
 
 

@@ -6,13 +6,14 @@ import hashlib
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Key fragments whose values are redacted.
 SENSITIVE_FRAGMENTS = (
-    "api_key", "apikey", "auth", "credential", "passwd", "password", "private_key", "secret", "token",
+    "authorization", "token", "secret", "password", "passwd", "api_key", "access_key", "private_key", "credential",
 )
 REDACTED = "[REDACTED]"
 #: Parameters that do not matter when runs are compared.
@@ -24,12 +25,16 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
+def is_sensitive(key) -> bool:
+    """Whether a key names a secret; blanks around it, case and hyphens don't matter."""
+    plain = str(key).strip().lower().replace("-", "_")
+    return any(f in plain for f in SENSITIVE_FRAGMENTS)
+
+
 def redact(value):
     """``value`` with sensitive keys replaced, at any depth."""
     if isinstance(value, dict):
-        return {
-            k: REDACTED if any(f in str(k).lower() for f in SENSITIVE_FRAGMENTS) else redact(v) for k, v in value.items()
-        }
+        return {k: REDACTED if is_sensitive(k) else redact(v) for k, v in value.items()}
     return [redact(v) for v in value] if isinstance(value, list) else value
 
 
@@ -92,17 +97,44 @@ def numbered(records: DataFrame, ledger: list[str], order: list[str]) -> DataFra
     return records.withColumn("run_index", F.row_number().over(Window.partitionBy(*ledger).orderBy(*order)))
 
 
+def _hashed(body: Column, previous: Column) -> Column:
+    """The hash of a record's text together with the hash before it."""
+    return F.sha2(F.concat_ws("|", body, F.coalesce(previous, F.lit(""))), 256)
+
+
 def link_hashes(records: DataFrame, ledger: list[str], body: Column) -> DataFrame:
-    """body_hash of each record and prev_hash, that of the one before."""
-    hashed = records.withColumn("self_hash", F.sha2(body, 256))
-    before = Window.partitionBy(*ledger).orderBy("run_index")
-    return hashed.withColumn("prev_hash", F.lag("self_hash").over(before))
+    """prev_hash, that of the record before, and self_hash over body and prev_hash.
+
+    A chain can only be made in order, so a ledger is one task's; its records
+    stream past in sorted batches and are never held together.
+    """
+    rows = records.withColumn("_body", body).repartition(*ledger).sortWithinPartitions(*ledger, "run_index")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
+    names = list(records.columns)
+    keys, width = [names.index(c) for c in ledger], len(names)
+
+    def run(batches):
+        current, previous = None, None
+        for batch in batches:
+            before, own = [], []
+            for *key, text in zip(*[batch.column(i).to_pylist() for i in (*keys, width)], strict=True):
+                if key != current:
+                    current, previous = key, None
+                before.append(previous)
+                previous = hashlib.sha256(f"{text}|{previous or ''}".encode()).hexdigest()
+                own.append(previous)
+            columns = [batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*names, "prev_hash", "self_hash"]
+            )
+
+    return rows.mapInArrow(run, f"{schema}, prev_hash string, self_hash string")
 
 
 def verify_links(records: DataFrame, ledger: list[str], body: Column) -> DataFrame:
     """Broken records: recomputed hash or link to the one before differs."""
     before = F.lag("self_hash").over(Window.partitionBy(*ledger).orderBy("run_index"))
-    checked = records.withColumn("bad_self", F.sha2(body, 256) != F.col("self_hash"))
+    checked = records.withColumn("bad_self", _hashed(body, F.col("prev_hash")) != F.col("self_hash"))
     checked = checked.withColumn("bad_prev", ~F.col("prev_hash").eqNullSafe(before))
     return checked.where("bad_self OR bad_prev").select(*ledger, "run_index", "bad_self", "bad_prev")
 

@@ -6,12 +6,18 @@ VOX = """u AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS e
 v AS (SELECT (vec_id // 100)::INT AS t, ((vec_id // 20) % 5)::INT AS p, ((vec_id // 10) % 2)::INT AS c, (vec_id % 10)::INT AS z,
   (i // 8)::INT AS y, (i % 8)::INT AS x, round_even(least(65535.0, greatest(0.0, e::DOUBLE * 1000 + 2000)), 0)::INT AS v FROM u)"""
 
-OTSU = """h AS (SELECT c, v, count(*) AS n FROM v WHERE z % 4 = 0 AND y % 4 = 0 AND x % 4 = 0 GROUP BY c, v),
-hc AS (SELECT c, v, (sum(n) OVER r)::DOUBLE AS w0, (sum(n * v) OVER r)::DOUBLE AS s0,
-  (sum(n) OVER (PARTITION BY c))::DOUBLE AS w, (sum(n * v) OVER (PARTITION BY c))::DOUBLE AS s
-  FROM h WINDOW r AS (PARTITION BY c ORDER BY v)),
-hb AS (SELECT c, v, CASE WHEN w - w0 > 0 THEN round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 3) ELSE -1 END AS b FROM hc),
-o AS (SELECT c, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY b DESC, v) AS k FROM hb) WHERE k = 1)"""
+
+def _otsu(keys: str, step: int) -> str:
+    """Table o (keys, threshold) of largest between-class variance over every ``step``-th voxel."""
+    return f"""h AS (SELECT {keys}, v, count(*) AS n FROM v WHERE z % {step} = 0 AND y % {step} = 0 AND x % {step} = 0 GROUP BY ALL),
+hc AS (SELECT {keys}, v, (sum(n) OVER r)::DOUBLE AS w0, (sum(n * v) OVER r)::DOUBLE AS s0,
+  (sum(n) OVER (PARTITION BY {keys}))::DOUBLE AS w, (sum(n * v) OVER (PARTITION BY {keys}))::DOUBLE AS s
+  FROM h WINDOW r AS (PARTITION BY {keys} ORDER BY v)),
+hb AS (SELECT {keys}, v, CASE WHEN w - w0 > 0 THEN round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 3) ELSE -1 END AS b FROM hc),
+o AS (SELECT {keys}, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY b DESC, v) AS k FROM hb) WHERE k = 1)"""
+
+
+OTSU, BOX_OTSU = _otsu("c", 4), _otsu("c", 8)
 
 STAGE = """s AS (SELECT (s_suppkey - (SELECT min(s_suppkey) FROM supplier))::INT AS row FROM supplier),
 stage AS (SELECT row, row * 4.0::DOUBLE AS x, (row % 2) * 2.0::DOUBLE AS y, 0.0::DOUBLE AS z, (row % 3) * 5.0::DOUBLE AS theta FROM s)"""
@@ -43,8 +49,9 @@ RUNS = """runs AS (SELECT o_custkey AS store, o_orderkey AS run_id,
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
   o_orderpriority AS parameters, o_orderkey % 7 = 0 AS skipped,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS run_index FROM orders),
-linked AS (SELECT *, sha256(store || '|' || run_index || '|' || run_id || '|' || status || '|' || parameters) AS self_hash FROM runs),
-chained AS (SELECT *, lag(self_hash) OVER (PARTITION BY store ORDER BY run_index) AS prev_hash FROM linked)"""
+body AS (SELECT *, store || '|' || run_index || '|' || run_id || '|' || status || '|' || parameters AS text FROM runs),
+chained AS (SELECT *, NULL::VARCHAR AS prev_hash, sha256(text || '|') AS self_hash FROM body WHERE run_index = 1
+  UNION ALL SELECT b.*, a.self_hash, sha256(b.text || '|' || a.self_hash) FROM chained a JOIN body b ON b.store = a.store AND b.run_index = a.run_index + 1)"""
 
 PATHS = """keys AS (SELECT DISTINCT t, p, c FROM v),
 paths AS (SELECT format('/data/Position{}/CH{:02d}_{:06d}.tiff', p, c, t) AS path, t, p, c FROM keys)"""
@@ -92,17 +99,13 @@ SELECT t, p, c, z, y, x, v::DOUBLE AS v FROM v UNION ALL
 SELECT t, p, c, z::INT, y::INT, x::INT, v FROM m, range(-1, 11) a(z), range(-1, 9) b(y), range(-1, 9) d(x)
 WHERE NOT (z BETWEEN 0 AND 9 AND y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7)""",
     "zero_mask": f"WITH {VOX} SELECT t, p, c, z, y, x, CASE WHEN v > 2000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM v",
-    "grow_and_merge_boxes": f"""WITH {VOX}, h AS (SELECT t, c, v, count(*) AS n FROM v WHERE z % 4 = 0 AND y % 4 = 0 AND x % 4 = 0 GROUP BY ALL),
-hc AS (SELECT t, c, v, (sum(n) OVER r)::DOUBLE AS w0, (sum(n * v) OVER r)::DOUBLE AS s0, (sum(n) OVER (PARTITION BY t, c))::DOUBLE AS w, (sum(n * v) OVER (PARTITION BY t, c))::DOUBLE AS s
-  FROM h WINDOW r AS (PARTITION BY t, c ORDER BY v)),
-hb AS (SELECT t, c, v, CASE WHEN w - w0 > 0 THEN round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 3) ELSE -1 END AS b FROM hc),
-o AS (SELECT t, c, v AS th FROM (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY b DESC, v) AS k FROM hb) WHERE k = 1),
-b AS (SELECT t, c, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM v JOIN o USING (t, c) WHERE v > th GROUP BY t, c)
+    "grow_and_merge_boxes": f"""WITH {VOX}, {_otsu("t, c", 8)},
+b AS (SELECT t, c, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM v JOIN o USING (t, c) WHERE v > threshold GROUP BY t, c)
 SELECT c, min(greatest(0, z0 - 1))::INT AS z_start, max(least(10, z1 + 1))::INT AS z_stop, min(greatest(0, y0 - 1))::INT AS y_start, max(least(8, y1 + 1))::INT AS y_stop,
 min(greatest(0, x0 - 1))::INT AS x_start, max(least(8, x1 + 1))::INT AS x_stop FROM b GROUP BY c""",
-    "crop_common_box": f"""WITH {VOX}, w AS (SELECT * FROM v WHERE t < 2),
-b AS (SELECT c, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM w WHERE v > 2250 GROUP BY c)
-SELECT w.* FROM w JOIN b USING (c) WHERE z >= z0 AND z < z1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1""",
+    "crop_common_box": f"""WITH {VOX}, {_otsu("t, p, c", 8)},
+b AS (SELECT t // 2 AS k, p, c, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM v JOIN o USING (t, p, c) WHERE v > threshold GROUP BY ALL)
+SELECT v.* FROM v JOIN b ON v.t // 2 = b.k AND v.p = b.p AND v.c = b.c WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1""",
     "voxel_budget_stride": """WITH a AS (SELECT p_partkey, p_size * 10 AS nz, p_size * 20 AS ny, p_size * 30 AS nx, (p_partkey % 7 + 1)::INT AS nt, (p_partkey % 5 + 1)::INT AS np FROM part),
 b AS (SELECT *, CASE WHEN nz::DOUBLE * ny * nx * nt * np > 2000000 THEN greatest(1, ceil(cbrt(nz::DOUBLE * ny * nx * nt * np / 2000000) - 1e-9))::INT ELSE 1 END AS zyx_stride FROM a),
 d AS (SELECT *, ceil(nz / zyx_stride) * ceil(ny / zyx_stride) * ceil(nx / zyx_stride) * nt * np AS n FROM b)
@@ -120,8 +123,8 @@ SELECT t, p, c, z, y, x, round(v / greatest(flat, 1e-6) - b, 6) + 0.0 AS v FROM
     "flatfield_feather": "SELECT i::INT AS i, round(greatest(CASE WHEN i < 3 THEN (i + 1) / 4.0::DOUBLE WHEN i >= 9 THEN 1 - (i - 8) / 4.0::DOUBLE ELSE 1.0::DOUBLE END, 0.001), 6) AS w FROM range(0, 12) r(i)",
     "otsu_threshold": f"WITH {VOX}, {OTSU} SELECT c, threshold FROM o",
     "noise_normalized": f"WITH {VOX}, {OTSU}, d AS (SELECT c, stddev_pop(v) AS sd FROM v GROUP BY c) SELECT t, p, c, z, y, x, round((v - threshold) / sd, 6) + 0.0 AS v FROM v JOIN o USING (c) JOIN d USING (c)",
-    "bbox_minimal": f"WITH {VOX}, {OTSU} SELECT c, min(z) AS z_start, max(z) + 1 AS z_stop, min(y) AS y_start, max(y) + 1 AS y_stop, min(x) AS x_start, max(x) + 1 AS x_stop FROM v JOIN o USING (c) WHERE v > threshold GROUP BY c",
-    "bbox_robust": f"""WITH {VOX}, {OTSU}, a AS (SELECT c, z, y, x FROM v JOIN o USING (c) WHERE v > threshold),
+    "bbox_minimal": f"WITH {VOX}, {BOX_OTSU} SELECT c, min(z) AS z_start, max(z) + 1 AS z_stop, min(y) AS y_start, max(y) + 1 AS y_stop, min(x) AS x_start, max(x) + 1 AS x_stop FROM v JOIN o USING (c) WHERE v > threshold GROUP BY c",
+    "bbox_robust": f"""WITH {VOX}, {BOX_OTSU}, a AS (SELECT c, z, y, x FROM v JOIN o USING (c) WHERE v > threshold),
 m AS (SELECT c, 'z' AS axis, z AS i, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT c, 'y', y, count(*) FROM a GROUP BY ALL UNION ALL SELECT c, 'x', x, count(*) FROM a GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY c, axis ORDER BY i) AS cum, sum(n) OVER (PARTITION BY c, axis) AS total FROM m)
 SELECT c, axis, min(i) FILTER (WHERE cum >= total * 5.0 / 100) AS start, (min(i) FILTER (WHERE cum >= total * 95.0 / 100) + 1)::INT AS stop FROM r GROUP BY c, axis""",
@@ -197,14 +200,14 @@ e AS (SELECT y, min(z)::DOUBLE AS a, max(z)::DOUBLE AS b FROM b GROUP BY y), s A
 q AS (SELECT side, quantile_cont(z, 0.05) AS lo, quantile_cont(z, 0.95) AS hi FROM s GROUP BY side),
 k AS (SELECT side, regr_slope(z, y) AS slope FROM s JOIN q USING (side) WHERE z >= lo AND z <= hi GROUP BY side)
 SELECT round(quantile_cont(degrees(atan(slope * 1.0 / 0.5)), 0.5), 6) + 0.0 AS tilt_deg FROM k""",
-    "provenance_chain": f"WITH {RUNS} SELECT store, run_index, run_id, prev_hash, self_hash FROM chained",
-    "provenance_verify": f"""WITH {RUNS}, a AS (SELECT store, run_index, run_id, parameters, self_hash, CASE WHEN run_id % 97 = 0 THEN 'altered' ELSE status END AS status,
+    "provenance_chain": f"WITH RECURSIVE {RUNS} SELECT store, run_index, run_id, prev_hash, self_hash FROM chained",
+    "provenance_verify": f"""WITH RECURSIVE {RUNS}, a AS (SELECT store, run_index, run_id, parameters, self_hash, CASE WHEN run_id % 97 = 0 THEN 'altered' ELSE status END AS status,
 CASE WHEN run_id % 89 = 0 THEN '0' ELSE prev_hash END AS prev_hash FROM chained),
-k AS (SELECT *, sha256(store || '|' || run_index || '|' || run_id || '|' || status || '|' || parameters) <> self_hash AS bad_self,
+k AS (SELECT *, sha256(store || '|' || run_index || '|' || run_id || '|' || status || '|' || parameters || '|' || coalesce(prev_hash, '')) <> self_hash AS bad_self,
 prev_hash IS DISTINCT FROM lag(self_hash) OVER (PARTITION BY store ORDER BY run_index) AS bad_prev FROM a)
 SELECT store, run_index, bad_self, bad_prev FROM k WHERE bad_self OR bad_prev""",
-    "provenance_latest": f"WITH {RUNS} SELECT store, run_index, run_id, parameters FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY run_index DESC) AS k FROM runs WHERE status = 'completed') WHERE k = 1",
-    "provenance_match": f"WITH {RUNS} SELECT store, max(run_index) AS run_index, max(run_id) AS run_id FROM runs WHERE status = 'completed' AND NOT skipped AND parameters = '1-URGENT' AND store IN (SELECT c_custkey FROM customer) GROUP BY store",
+    "provenance_latest": f"WITH RECURSIVE {RUNS} SELECT store, run_index, run_id, parameters FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY run_index DESC) AS k FROM runs WHERE status = 'completed') WHERE k = 1",
+    "provenance_match": f"WITH RECURSIVE {RUNS} SELECT store, max(run_index) AS run_index, max(run_id) AS run_id FROM runs WHERE status = 'completed' AND NOT skipped AND parameters = '1-URGENT' AND store IN (SELECT c_custkey FROM customer) GROUP BY store",
     "audit_sequence": "SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS sequence FROM events",
     "audit_latest_reference": "SELECT o_orderpriority AS operation, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS component FROM orders GROUP BY 1",
     "dependency_antijoin": "SELECT l_orderkey AS component, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
@@ -226,7 +229,8 @@ k AS (SELECT c, f, m, count(*) AS n FROM b GROUP BY ALL), s AS (SELECT *, sum(n)
 i AS (SELECT c, sum(n::DOUBLE / a * ln(n::DOUBLE * a / (nf::DOUBLE * nm))) AS mi FROM s GROUP BY c)
 SELECT c, round(mi, 6) + 0.0 AS mutual_information, round(corr(fixed, moving), 6) + 0.0 AS correlation FROM i JOIN pr USING (c) GROUP BY c, mi""",
     "stitch_tiles": f"""WITH {VOX}, f AS (SELECT t, p, c, y, x, max(v) AS v FROM v GROUP BY ALL),
-w AS (SELECT t, c, y + 2 AS y, x + 2 + 6 * p AS x, v, greatest(least(CASE WHEN p > 0 AND x < 2 THEN 0.5 - 0.5 * cos(pi() * (x + 0.5) / 2) ELSE 1.0 END, CASE WHEN p < 4 AND x >= 6 THEN 0.5 - 0.5 * cos(pi() * (8 - x - 0.5) / 2) ELSE 1.0 END), 1e-3) AS w FROM f)
+w AS (SELECT t, c, y + 2 AS y, x + 2 + 6 * p AS x, v, CASE WHEN p < 4 AND x >= 6 THEN greatest(0.5 - 0.5 * cos(pi() * (7 - x)), 0.001::FLOAT::DOUBLE)
+  WHEN p > 0 AND x < 2 THEN greatest(0.5 - 0.5 * cos(pi() * x), 0.001::FLOAT::DOUBLE) ELSE 1.0 END AS w FROM f)
 SELECT t, c, y::INT AS y, x::INT AS x, least(65535, greatest(0, round_even(sum(v * w) / sum(w), 0)))::INT AS v FROM w GROUP BY t, c, y, x""",
     "tile_name_parse": f"WITH {VOX} SELECT 'xz' AS projection, t, c, count(DISTINCT p) AS tiles, min(p) AS first, max(p) AS last FROM v GROUP BY t, c",
 }

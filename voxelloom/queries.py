@@ -14,6 +14,8 @@ from voxelloom.operators import (
 )
 from voxelloom.sources.voxels import embedding_voxels, table
 
+#: Fixed value: boxes take their threshold from every 8th voxel.
+BOX_STEP = 8
 SHAPE = {"z": 10, "y": 8, "x": 8}
 CHUNKS = {"z": 5, "y": 4, "x": 4}
 CALIBRATION = {"z": "+z", "y": "-y", "x": "+x"}
@@ -175,15 +177,18 @@ def zero_mask(spark, sf_dir):
 @query
 def grow_and_merge_boxes(spark, sf_dir):
     v = embedding_voxels(spark, sf_dir)
-    boxes = statistics.minimal_box(v, statistics.otsu_thresholds(v, ["t", "c"]), ["t", "c"])
+    boxes = statistics.minimal_box(v, statistics.otsu_thresholds(v, ["t", "c"], BOX_STEP), ["t", "c"])
     return regions.merge_boxes(regions.grow_box(boxes, SHAPE, 1), ["c"])
 
 
 @query
 def crop_common_box(spark, sf_dir):
-    v = embedding_voxels(spark, sf_dir).where("t < 2")
-    boxes = v.where("v > 2250").groupBy("c").agg(*[x for a in "zyx" for x in (F.min(a).alias(f"{a}_start"), F.max(a).alias(f"{a}_stop"))])
-    return regions.crop_to_boxes(v, boxes, ["c"])
+    """Every two volumes that follow in time are cropped to the box around the foreground of both."""
+    v = embedding_voxels(spark, sf_dir)
+    boxes = statistics.minimal_box(v, statistics.otsu_thresholds(v, ["t", "p", "c"], BOX_STEP), ["t", "p", "c"])
+    pair = F.floor(F.col("t") / 2).alias("pair")
+    merged = regions.merge_boxes(boxes.select("*", pair), ["pair", "p", "c"])
+    return regions.crop_to_boxes(v.select("*", pair), merged, ["pair", "p", "c"]).drop("pair")
 
 
 @query
@@ -246,13 +251,13 @@ def noise_normalized(spark, sf_dir):
 @query
 def bbox_minimal(spark, sf_dir):
     v = embedding_voxels(spark, sf_dir)
-    return statistics.minimal_box(v, statistics.otsu_thresholds(v, ["c"]), ["c"])
+    return statistics.minimal_box(v, statistics.otsu_thresholds(v, ["c"], BOX_STEP), ["c"])
 
 
 @query
 def bbox_robust(spark, sf_dir):
     v = embedding_voxels(spark, sf_dir)
-    return statistics.robust_box(v, statistics.otsu_thresholds(v, ["c"]), ["c"], 5.0, 95.0)
+    return statistics.robust_box(v, statistics.otsu_thresholds(v, ["c"], BOX_STEP), ["c"], 5.0, 95.0)
 
 
 @query

@@ -80,15 +80,100 @@ def decode_npz(content: bytes) -> np.ndarray:
         return files[sorted(files.files)[0]]
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, the most significant bit first, as TIFF has it."""
+    out, table, width, bits, held, last = bytearray(), [], 9, 0, 0, None
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        while bits >= width:
+            bits -= width
+            code, held = held >> bits, held & ((1 << bits) - 1)
+            if code == 256:  # clear
+                table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+                continue
+            if code == 257:  # end
+                return bytes(out)
+            if not table:
+                raise ValueError("LZW data does not begin with a clear code")
+            entry = table[code] if code < len(table) else last + last[:1]
+            out += entry
+            if last is not None:
+                table.append(last + entry[:1])
+            last = entry
+            # the writer widens its codes one entry early
+            width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+def _unpack_bits(data: bytes) -> bytes:
+    out, i = bytearray(), 0
+    while i < len(data):
+        n = data[i]
+        if n < 128:
+            out += data[i + 1 : i + 2 + n]
+            i += n + 2
+        else:
+            if n > 128:
+                out += data[i + 1 : i + 2] * (257 - n)
+            i += 2
+    return bytes(out)
+
+
+#: TIFF compression schemes.
+TIFF_UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits}
+
+
+def _tiff_part(raw: bytes, dtype: np.dtype, height: int, width: int, samples: int, predictor: int) -> np.ndarray:
+    """Rows of one strip or tile as (rows, width, samples)."""
+    rows = np.frombuffer(raw, dtype)
+    rows = rows[: len(rows) // (width * samples) * width * samples].reshape(-1, width, samples)[:height]
+    rows = rows.astype(dtype.newbyteorder("="))
+    if predictor == 2:
+        rows = np.cumsum(rows, axis=1, dtype=rows.dtype)
+    elif predictor != 1:
+        raise UnavailableFormat(f"TIFF predictor {predictor}")
+    return rows
+
+
+def ome_axes(description: bytes | str | None) -> tuple[str, tuple[int, ...]] | None:
+    """(axes, shape) that an OME-XML image description gives its pages, slowest first."""
+    text = description.decode("utf-8", "replace").rstrip("\0") if isinstance(description, bytes) else description or ""
+    found = re.search(r"<(?:\w+:)?Pixels\b([^>]*)>", text)
+    if not found:
+        return None
+    values = dict(re.findall(r'(\w+)="([^"]*)"', found.group(1)))
+    order = values.get("DimensionOrder", "XYCZT")[:1:-1].lower()
+    try:
+        return order + "yx", tuple(int(values[f"Size{a.upper()}"]) for a in order + "yx")
+    except KeyError:
+        return None
+
+
+def decode_tiff_image(content: bytes) -> tuple[np.ndarray, str | None]:
+    """(array, axes): pages in the shape of their OME description, if there is
+    one, else (pages, y, x) with axes unknown."""
+    pages, description = _tiff_pages(content)
+    named = ome_axes(description)
+    stack = np.stack(pages)
+    if named and int(np.prod(named[1])) == stack.size:
+        return stack.reshape(named[1]), named[0]
+    return stack, None
+
+
 def decode_tiff(content: bytes) -> np.ndarray:
-    """Pages of a plain or deflate-compressed strip TIFF as (pages, y, x)."""
+    """Pages of a TIFF as (pages, y, x)."""
+    return np.stack(_tiff_pages(content)[0])
+
+
+def _tiff_pages(content: bytes) -> tuple[list[np.ndarray], bytes | None]:
+    """Pages in strips or tiles, plain or packed, and the first description."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
     if order is None:
         raise ValueError("not a TIFF file")
     magic = struct.unpack_from(order + "H", content, 2)[0]
     big = magic == 43
     at = struct.unpack_from(order + ("Q" if big else "I"), content, 8 if big else 4)[0]
-    pages = []
+    pages, description = [], None
     while at:
         count = struct.unpack_from(order + ("Q" if big else "H"), content, at)[0]
         step, start = (20, at + 8) if big else (12, at + 2)
@@ -104,16 +189,22 @@ def decode_tiff(content: bytes) -> np.ndarray:
                 value = struct.unpack_from(order + ("Q" if big else "I"), content, value)[0]
             tags[tag] = content[value : value + n] if kind == 2 else struct.unpack_from(order + code * n, content, value)
         width, height, packing = tags[256][0], tags[257][0], tags.get(259, (1,))[0]
-        if packing not in (1, 8, 32946):
+        if packing not in TIFF_UNPACK:
             raise UnavailableFormat(f"TIFF compression {packing}")
-        if 322 in tags:
-            raise UnavailableFormat("tiled TIFF")
+        if tags.get(277, (1,))[0] != 1:
+            raise UnavailableFormat("TIFF pages of several samples")
+        description = description or tags.get(270)
         dtype = np.dtype(TIFF_SAMPLE[(tags.get(339, (1,))[0], tags[258][0])]).newbyteorder(order)
-        strips = [content[o : o + n] for o, n in zip(tags[273], tags[279], strict=True)]
-        raw = b"".join(s if packing == 1 else zlib.decompress(s) for s in strips)
-        pages.append(np.frombuffer(raw, dtype)[: width * height].reshape(height, width).astype(dtype.newbyteorder("=")))
+        predictor, tiled = tags.get(317, (1,))[0], 322 in tags
+        part_w, part_h = (tags[322][0], tags[323][0]) if tiled else (width, min(height, tags.get(278, (height,))[0]))
+        page, across = np.zeros((height, width), dtype.newbyteorder("=")), -(-width // part_w)
+        for i, (o, n) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+            y, x = i // across * part_h, i % across * part_w
+            part = _tiff_part(TIFF_UNPACK[packing](content[o : o + n]), dtype, part_h, part_w, 1, predictor)[..., 0]
+            page[y : y + part_h, x : x + part_w] = part[: height - y, : width - x]
+        pages.append(page)
         at = struct.unpack_from(order + ("Q" if big else "I"), content, start + count * step)[0]
-    return np.stack(pages)
+    return pages, description
 
 
 def encode_tiff(planes: np.ndarray) -> bytes:
@@ -121,7 +212,7 @@ def encode_tiff(planes: np.ndarray) -> bytes:
     codes = {v: k for k, v in TIFF_SAMPLE.items()}
     kind, bits = codes[planes.dtype.str[1:]]
     out, at = [], 8
-    for i, plane in enumerate(planes):
+    for plane in planes:
         raw = np.ascontiguousarray(plane.astype(plane.dtype.newbyteorder("<"))).tobytes()
         tags = [(256, 4, plane.shape[1]), (257, 4, plane.shape[0]), (258, 3, bits), (259, 3, 1), (262, 3, 1), (273, 4, at),
                 (277, 3, 1), (278, 4, plane.shape[0]), (279, 4, len(raw)), (339, 3, kind)]
@@ -130,7 +221,6 @@ def encode_tiff(planes: np.ndarray) -> bytes:
         body = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
         out.append((ifd, raw + b"\0" * (len(raw) % 2) + body + struct.pack("<I", 0)))
         at = after
-        del i
     stream = bytearray(struct.pack("<2sHI", b"II", 42, out[0][0]))
     for i, (_, page) in enumerate(out):
         page = page[:-4] + struct.pack("<I", out[i + 1][0] if i + 1 < len(out) else 0)
@@ -185,11 +275,15 @@ def read_files(spark: SparkSession, path: str, suffix: str, axes: str | None = N
 
     def run(parts):
         for pdf in parts:
-            for _, row in pdf.iterrows():
-                array = decode(row["content"])
-                if suffix.startswith(".tif") and array.shape[0] == 1:
-                    array = array[0]
-                yield chunk_rows(array, axes or infer_axes(array.shape), {a: int(row[a]) for a in "tpc"})
+            for content, *at in zip(pdf["content"], *[pdf[a] for a in "tpc"], strict=True):
+                named = None
+                if suffix.startswith(".tif"):
+                    array, named = decode_tiff_image(content)
+                    if named is None and array.shape[0] == 1:
+                        array = array[0]
+                else:
+                    array = decode(content)
+                yield chunk_rows(array, axes or named or infer_axes(array.shape), {a: int(i) for a, i in zip("tpc", at, strict=True)})
 
     return named.mapInPandas(run, CHUNK_FIELDS)
 
@@ -201,8 +295,10 @@ def zarr_metadata(spark: SparkSession, path: str) -> dict:
         meta = json.loads(text)
         attrs = json.loads(_read_text(spark, f"{path}/.zattrs") or "{}")
         codec = (meta.get("compressor") or {}).get("id")
-        return {"shape": meta["shape"], "chunks": meta["chunks"], "dtype": meta["dtype"], "codec": codec, "prefix": "",
-                "separator": meta.get("dimension_separator", "."), "axes": attrs.get("axes"), "fill": meta.get("fill_value") or 0}
+        if meta.get("filters"):
+            raise UnavailableFormat(f"filters {meta['filters']}")
+        return {"shape": meta["shape"], "chunks": meta["chunks"], "dtype": meta["dtype"], "codec": codec, "prefix": "", "order": meta.get("order", "C"),
+                "separator": meta.get("dimension_separator", "."), "axes": attrs.get("axes") or attrs.get("_ARRAY_DIMENSIONS"), "fill": meta.get("fill_value")}
     text = _read_text(spark, f"{path}/zarr.json")
     if not text:
         raise FileNotFoundError(path)
@@ -212,34 +308,71 @@ def zarr_metadata(spark: SparkSession, path: str) -> dict:
         raise UnavailableFormat(f"codecs {codecs}")
     grid = meta["chunk_grid"]["configuration"]["chunk_shape"]
     separator = meta["chunk_key_encoding"].get("configuration", {}).get("separator", "/")
-    return {"shape": meta["shape"], "chunks": grid, "dtype": np.dtype(meta["data_type"]).str, "codec": codecs[0] if codecs else None,
-            "prefix": "c/", "separator": separator, "axes": meta.get("dimension_names"), "fill": meta.get("fill_value") or 0}
+    endian = next((c.get("configuration", {}).get("endian", "little") for c in meta["codecs"] if c["name"] == "bytes"), "little")
+    dtype = np.dtype(meta["data_type"]).newbyteorder("<" if endian == "little" else ">")
+    return {"shape": meta["shape"], "chunks": grid, "dtype": dtype.str, "codec": codecs[0] if codecs else None, "order": "C",
+            "prefix": "c" + separator, "separator": separator, "axes": meta.get("dimension_names"), "fill": meta.get("fill_value")}
+
+
+def _with_unstored(files: DataFrame, pattern: str, counts: list[int], stored: Callable, unstored: Callable) -> DataFrame:
+    """Chunk rows of all chunks of a grid: of the files, and of the chunks no file holds.
+
+    Only the names are compared; the chunks' bytes are read where they are
+    decoded and never shuffled.
+    """
+    spark, total = files.sparkSession, int(np.prod(counts))
+    place = F.lit(0).cast("long")
+    for i, n in enumerate(counts):
+        place = place * n + F.regexp_extract("path", pattern, i + 1).cast("long")
+    named = files.select(place.alias("place"))
+    missing = spark.range(total).withColumnRenamed("id", "place").join(named, "place", "left_anti")
+
+    def fill(parts):
+        for pdf in parts:
+            for i in pdf["place"]:
+                yield unstored([int(k) for k in np.unravel_index(int(i), counts)])
+
+    rows = files.select("path", "content").mapInPandas(stored, CHUNK_FIELDS)
+    return rows.unionByName(missing.mapInPandas(fill, CHUNK_FIELDS))
+
+
+def _fill_value(value, dtype: np.dtype):
+    """A fill value as metadata write it: null, a number, or NaN and infinities as text."""
+    if value is None:
+        return dtype.type(0)
+    return dtype.type(float(value)) if isinstance(value, str) and dtype.kind == "f" else dtype.type(value)
 
 
 def read_zarr(spark: SparkSession, path: str, axes: str | None = None) -> DataFrame:
-    """Chunk rows of a Zarr v2 or v3 array, one stored chunk per row group."""
+    """Chunk rows of a Zarr v2 or v3 array; chunks that are not stored hold the fill value."""
     meta = zarr_metadata(spark, path)
     names = axes or ("".join(meta["axes"]) if meta["axes"] else infer_axes(tuple(meta["shape"])))
     rank, sep = len(meta["shape"]), re.escape(meta["separator"])
-    pattern = "/" + meta["prefix"] + sep.join([r"(\d+)"] * rank) + "$"
+    pattern = "/" + re.escape(meta["prefix"]) + sep.join([r"(\d+)"] * rank) + "$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(pattern))
+    dtype = np.dtype(meta["dtype"])
+    native, fill = dtype.newbyteorder("="), _fill_value(meta["fill"], dtype.newbyteorder("="))
+
+    def placed(key: list[int], block: np.ndarray) -> pd.DataFrame:
+        start = [k * c for k, c in zip(key, meta["chunks"], strict=True)]
+        inside = tuple(slice(0, min(c, s - a)) for c, s, a in zip(meta["chunks"], meta["shape"], start, strict=True))
+        return chunk_rows(block[inside].astype(native, copy=False), names, dict(zip(names, start, strict=True)))
 
     def run(parts):
         for pdf in parts:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                key = [int(i) for i in re.search(pattern, name).groups()]
-                block = np.frombuffer(decode_block(content, meta["codec"]), meta["dtype"]).reshape(meta["chunks"])
-                start = [k * c for k, c in zip(key, meta["chunks"], strict=True)]
-                inside = tuple(slice(0, min(c, s - a)) for c, s, a in zip(meta["chunks"], meta["shape"], start, strict=True))
-                yield chunk_rows(block[inside], names, dict(zip(names, start, strict=True)))
+                block = np.frombuffer(decode_block(content, meta["codec"]), dtype).reshape(meta["chunks"], order=meta["order"])
+                yield placed([int(i) for i in re.search(pattern, name).groups()], block)
 
-    return files.select("path", "content").mapInPandas(run, CHUNK_FIELDS)
+    counts = [-(-s // c) for s, c in zip(meta["shape"], meta["chunks"], strict=True)]
+    return _with_unstored(files, pattern, counts, run, lambda key: placed(key, np.full(meta["chunks"], fill, native)))
 
 
 def read_n5(spark: SparkSession, path: str, axes: str = "zyx") -> DataFrame:
     """Chunk rows of an N5 dataset; blocks store x first and big-endian.
 
-    Blocks whose trailing axes of length 1 were left out are completed.
+    Blocks whose trailing axes of length 1 were left out are completed; blocks
+    that are not stored hold 0.
     """
     meta = json.loads(_read_text(spark, f"{path}/attributes.json") or "null")
     if not meta or "dimensions" not in meta:
@@ -263,7 +396,62 @@ def read_n5(spark: SparkSession, path: str, axes: str = "zyx") -> DataFrame:
                 native = block.astype(block.dtype.newbyteorder("="))
                 yield chunk_rows(native, axes, dict(zip(axes, start, strict=True)))
 
-    return files.select("path", "content").mapInPandas(run, CHUNK_FIELDS)
+    def empty(key: list[int]) -> pd.DataFrame:
+        start = [k * c for k, c in zip(key, sizes, strict=True)]
+        block = np.zeros([min(c, s - a) for c, s, a in zip(sizes, shape, start, strict=True)][::-1], meta["dataType"])
+        return chunk_rows(block, axes, dict(zip(axes, start[::-1], strict=True)))
+
+    counts = [-(-s // c) for s, c in zip(shape, sizes, strict=True)]
+    return _with_unstored(files, pattern, counts, run, empty)
+
+
+def multiscale_levels(spark: SparkSession, path: str) -> list[dict]:
+    """path, axes and scale of every level that a group's OME metadata name."""
+    attrs = json.loads(_read_text(spark, f"{path}/.zattrs") or "{}")
+    if not attrs:
+        attrs = json.loads(_read_text(spark, f"{path}/zarr.json") or "{}").get("attributes", {})
+    attrs = attrs.get("ome", attrs)
+    out = []
+    for image in attrs.get("multiscales", []):
+        names = "".join(a["name"] if isinstance(a, dict) else a for a in image.get("axes", []))
+        for level in image.get("datasets", []):
+            scale = next((t["scale"] for t in level.get("coordinateTransformations", []) if t.get("type") == "scale"), None)
+            out.append({"path": f"{path}/{level['path']}", "axes": names or None, "scale": scale})
+    return out
+
+
+def collection_images(spark: SparkSession, path: str) -> list[str]:
+    """Image groups of a plate (row / column / field, in their order), or the group itself."""
+    attrs = json.loads(_read_text(spark, f"{path}/.zattrs") or "{}")
+    if not attrs:
+        attrs = json.loads(_read_text(spark, f"{path}/zarr.json") or "{}").get("attributes", {})
+    attrs = attrs.get("ome", attrs)
+    if "plate" not in attrs:
+        return [path]
+    out = []
+    for well in attrs["plate"].get("wells", []):
+        inner = json.loads(_read_text(spark, f"{path}/{well['path']}/.zattrs") or "{}")
+        if not inner:
+            inner = json.loads(_read_text(spark, f"{path}/{well['path']}/zarr.json") or "{}").get("attributes", {})
+        out += [f"{path}/{well['path']}/{f['path']}" for f in inner.get("ome", inner).get("well", {}).get("images", [])]
+    return out
+
+
+def read_ome_zarr(spark: SparkSession, path: str, level: int = 0) -> DataFrame:
+    """Chunk rows of a level of an OME-Zarr image or plate; fields of a plate become positions."""
+    images = collection_images(spark, path)
+    parts = []
+    for p, image in enumerate(images):
+        levels = multiscale_levels(spark, image)
+        if not levels:
+            raise ValueError(f"no multiscales in {image}")
+        chosen = levels[min(level, len(levels) - 1)]
+        rows = read_zarr(spark, chosen["path"], chosen["axes"])
+        parts.append(rows.withColumn("p", F.lit(p)) if len(images) > 1 else rows)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def open_image(spark: SparkSession, path: str, axes: str | None = None) -> DataFrame:
@@ -274,10 +462,13 @@ def open_image(spark: SparkSession, path: str, axes: str | None = None) -> DataF
             return read_files(spark, path, suffix, axes)
     if low.endswith((".h5", ".hdf5")):
         raise UnavailableFormat("HDF5 needs h5py, which is not installed")
+    # every reader in turn; one that does not know the source leaves it to the next
+    tried = []
+    for reader in (read_zarr, lambda s, p, a: read_ome_zarr(s, p), read_n5):
+        try:
+            return reader(spark, path, axes) if reader is not read_n5 else read_n5(spark, path, axes or "zyx")
+        except (FileNotFoundError, KeyError, ValueError) as e:
+            tried.append(str(e))
     if low.endswith(".n5"):
         raise ValueError("name a dataset inside the N5 container")
-    if _read_text(spark, f"{path}/.zarray") or _read_text(spark, f"{path}/zarr.json"):
-        return read_zarr(spark, path, axes)
-    if _read_text(spark, f"{path}/attributes.json"):
-        return read_n5(spark, path, axes or "zyx")
-    raise ValueError(f"no reader for {path}")
+    raise ValueError(f"no reader for {path}: {'; '.join(tried)}")

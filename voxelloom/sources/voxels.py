@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,19 +78,34 @@ def block_of(row) -> np.ndarray:
     return np.frombuffer(row["payload"], row["dtype"]).reshape(shape)
 
 
+def blocks_in(batch: pa.RecordBatch):
+    """(row as a dict without payload, block) of every chunk row in a batch."""
+    names = [n for n in batch.schema.names if n != "payload"]
+    for i, row in enumerate(batch.select(names).to_pylist()):
+        shape = (row["nz"], row["ny"], row["nx"])
+        yield row, np.frombuffer(batch.column("payload")[i].as_buffer(), row["dtype"])[: shape[0] * shape[1] * shape[2]].reshape(shape)
+
+
+def chunk_batch(rows: list[dict], blocks: list[np.ndarray]) -> pa.RecordBatch:
+    """Chunk rows (t, p, c, z0, y0, x0) with their blocks as a batch of CHUNK_FIELDS."""
+    numbers = {k: [int(r[k]) for r in rows] for k in ("t", "p", "c", "z0", "y0", "x0")}
+    numbers |= {n: [b.shape[i] for b in blocks] for i, n in enumerate(("nz", "ny", "nx"))}
+    columns = [pa.array(v, pa.int32()) for v in numbers.values()]
+    columns += [pa.array([b.dtype.name for b in blocks], pa.string()), pa.array([np.ascontiguousarray(b).tobytes() for b in blocks], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[*numbers, "dtype", "payload"])
+
+
 def to_voxels(chunks: DataFrame) -> DataFrame:
-    """Voxel rows of a chunk table."""
-
-    def unpack(parts):
-        for pdf in parts:
-            for _, row in pdf.iterrows():
-                block = block_of(row)
-                z, y, x = (i.reshape(-1) for i in np.indices(block.shape))
-                yield pd.DataFrame(
-                    {
-                        "t": row["t"], "p": row["p"], "c": row["c"], "z": z + row["z0"], "y": y + row["y0"],
-                        "x": x + row["x0"], "v": block.reshape(-1).astype(float),
-                    }
-                )
-
-    return chunks.mapInPandas(unpack, "t int, p int, c int, z int, y int, x int, v double")
+    """Voxel rows of a chunk table; NaN stays NaN."""
+
+    def unpack(batches):
+        for batch in batches:
+            for row, block in blocks_in(batch):
+                z, y, x = (i.reshape(-1) for i in np.indices(block.shape, dtype=np.int32))
+                n = block.size
+                columns = [pa.array(np.full(n, row[k], np.int32)) for k in ("t", "p", "c")]
+                columns += [pa.array(i + np.int32(row[k])) for i, k in ((z, "z0"), (y, "y0"), (x, "x0"))]
+                columns.append(pa.array(block.reshape(-1).astype(np.float64)))
+                yield pa.RecordBatch.from_arrays(columns, names=[*AXES, "v"])
+
+    return chunks.mapInArrow(unpack, "t int, p int, c int, z int, y int, x int, v double")
