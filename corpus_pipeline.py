@@ -17,7 +17,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
     return neardup.remove_near_duplicates(docs)
 
 
@@ -49,8 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written and read again."""
+    """All stages over ``documents``; each is written and read again.
+
+    What a stage wrote on its way goes when its result stands, and so does the
+    result before it.
+    """
     docs = common.table(spark, sf_dir, "documents")
+    first = common.written()
     for name, stage in STAGES:
         docs = common.durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.release(first, keep=docs)
     return docs
