@@ -13,7 +13,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, langid, lm, mixing, neardup, quality, sharding, textkit, tokencounts, toxicity, vectorsearch
+from voxelloom.llm import decontamination, graph, langid, lm, mixing, neardup, quality, sharding, textkit, tokencounts, toxicity, vectorsearch
 from voxelloom.llm.balanced_tree import BalancedTree
 from voxelloom.llm.oracles import ORACLES
 from voxelloom.llm.queries import QUERIES
@@ -92,9 +92,9 @@ def test_mix_emits_whole_copies(spark, larger):
 
 def test_near_duplicates_lose_no_link(spark, larger):
     docs = _table(spark, larger, "documents")
-    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs, percent=85, width=3).collect()}
     rows = sorted(docs.select("doc_id", "text").collect())
-    sets = {r["doc_id"]: set(s.tolist()) for r, s in zip(rows, neardup.shingle_sets([r["text"].encode() for r in rows]), strict=True)}
+    sets = {r["doc_id"]: set(s.tolist()) for r, s in zip(rows, neardup.shingle_sets([r["text"].encode() for r in rows], 3), strict=True)}
     first = {i: i for i in sets}
 
     def root(i):
@@ -125,8 +125,8 @@ def test_near_duplicates_of_a_star(spark):
             copy[i] = f"x{k}_{i}"
         texts.append(" ".join(copy))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
-    sets = [set(s.tolist()) for s in neardup.shingle_sets([t.encode() for t in texts])]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=85, width=3).collect()}
+    sets = [set(s.tolist()) for s in neardup.shingle_sets([t.encode() for t in texts], 3)]
     label = list(range(60))
     for i in range(60):
         for j in range(i):
@@ -137,6 +137,52 @@ def test_near_duplicates_of_a_star(spark):
     assert got == dict(enumerate(label))
 
 
+def test_many_near_copies_of_one_text(spark):
+    """5,000 copies, all within the threshold of the base, few of them of each other."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for k in range(5000):
+        copy = list(base)
+        for i in rng.choice(200, rng.integers(3, 5), replace=False):
+            copy[i] = f"x{k}_{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = neardup.near_duplicates(docs, percent=85, width=3)
+    assert found.where("component_id = 0").count() == len(texts) and found.where("kept").count() == 1
+    assert neardup.remove_near_duplicates(docs, percent=85, width=3).select("doc_id").collect()[0][0] == 0
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 17])
+def test_components(spark, one_task):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(500, 560)]
+    key = lambda i: i.to_bytes(4, "big")
+    edges = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary").repartition(3)
+    got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["label"], "big") for r in graph.components(edges, one_task).collect()}
+    label = {i: i for p in pairs if p[0] != p[1] for i in p}
+    for a, b in pairs:
+        if a != b:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+    assert got == label
+
+
+def test_block_rounds_find_every_component(spark):
+    """Chains of texts in which only neighbours are similar, far from any leader."""
+    texts = [" ".join(f"c{k}w{i}" for i in range(3 * j, 3 * j + 80)) for k in range(6) for j in range(30)]
+    sets = [set(s.tolist()) for s in neardup.shingle_sets([t.encode() for t in texts], 3)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=85, width=3).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_near_duplicates_of_five_words_and_four_fifths(spark):
     rng = np.random.default_rng(4)
     texts = []
@@ -203,20 +249,64 @@ def test_lm_base_and_gain(spark, sf):
     assert rows.score[own].sum() > rows.base_score[own].sum()
 
 
-def test_lm_distribution_sums_to_one(spark):
+def _small_model(texts, rounds):
+    t = textkit.tokenize(texts)
+    h, n = np.unique(np.append(t.hashes, np.full(len(texts), lm.END)), return_counts=True)
+    clusters = (h % np.uint64(lm.CLUSTERS)).astype(int)
     v = lm.Vocabulary(
-        np.array([5, 9, 12], np.uint64) << np.uint64(44), np.array([4, 3, 2]), np.array([0, 1, 0]), 12, 5,
-        np.array([8, 4, 0, 0, 0, 0, 0, 0]), np.array([3, 2, 0, 0, 0, 0, 0, 0]), np.zeros((lm.GRAMS, lm.CLUSTERS), np.float32),
+        h, n, clusters, int(n.sum()), len(h), np.bincount(clusters, n, lm.CLUSTERS), np.bincount(clusters, minlength=lm.CLUSTERS),
+        np.zeros((lm.GRAMS, lm.CLUSTERS), np.float32),
     )
-    w = lm.Weights(v)
-    p = w.class_probabilities(np.zeros((lm.FEATURES, 1), np.int64))[0]
-    assert abs(p.sum() - 1) < 1e-5
-    tails = np.array([2.0, 1.0]), np.array([1.0, 1.0])
-    for k in (0, 1):
-        share = (tails[0][k] + lm.SMOOTH * (tails[1][k] + 1)) / np.exp(v.tail_norm[k])
-        assert abs(share - 1) < 1e-9
-    for m in range(len(v.members)):
-        assert abs(w.word_probabilities(np.array([lm.CLUSTERS + m]), np.array([0])).sum() - 1) < 1e-5
+    s, W = lm.Stream(texts, v), None
+    for _ in range(rounds):
+        seen = np.zeros(v.rows * lm.WIDE, np.float32)
+        expected = None if W is None else np.zeros((v.rows, lm.WIDE), np.float32)
+        lm.add_sums(s, W, seen, expected)
+        W = lm.step(v, W, seen.reshape(-1, lm.WIDE), expected)
+    return v, s, W
+
+
+def test_lm_distribution_sums_to_one():
+    """Over all leaves of the tree, whatever the history, and within the rest of a cluster."""
+    rng = np.random.default_rng(1)
+    v, s, W = _small_model([b" ".join(b"w%d" % i for i in rng.zipf(1.3, 300) % 500) for _ in range(40)], 2)
+    for at in (0, 5, 700):
+        total = np.zeros(1)
+        for leaf in range(lm.LEAVES):
+            s.leaf[at] = leaf
+            if leaf == 0:
+                one = lm.Stream([b"x"], v)
+            one.leaf, one.history = np.array([leaf]), [x[at : at + 1] for x in s.history]
+            one.h, one.in_tail, one.cluster = one.h[:1], np.zeros(1, bool), one.cluster[:1]
+            total += np.exp(lm.log_probabilities(one, W))
+        assert abs(total[0] - 1) < 1e-4
+    tails = np.bincount(v.clusters[~v.head], v.counts[~v.head] + lm.SMOOTH, lm.CLUSTERS) + lm.SMOOTH
+    assert np.allclose(tails, np.exp(v.tail_norm))
+
+
+def test_lm_rounds_raise_the_likelihood():
+    rng = np.random.default_rng(2)
+    words = [b"w%d" % i for i in range(300)]
+    texts = [b" ".join(words[(k + 7 * j) % 300] if rng.random() < 0.8 else words[rng.integers(300)] for j in range(200)) for k in rng.integers(0, 300, 60)]
+    values = []
+    for rounds in (1, 2, 3):
+        _, s, W = _small_model(texts, rounds)
+        values.append(lm.log_probabilities(s, W).sum())
+    v, s, W = _small_model(texts, 1)
+    assert lm.log_probabilities(s, 0 * W).sum() < values[0] < values[1] < values[2]
+
+
+def test_lm_first_round_is_the_expectation_of_class_shares():
+    v, s, W = _small_model([b"a b a c a b d", b"b a b", b""], 1)
+    seen, expected = np.zeros(v.rows * lm.WIDE, np.float32), np.zeros((v.rows, lm.WIDE), np.float32)
+    lm.add_sums(s, 0 * W, seen, expected)
+    assert np.allclose(W, lm.step(v, 0 * W, seen.reshape(-1, lm.WIDE), expected), atol=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, sf):
+    docs = _table(spark, sf, "documents")
+    one, many = (sorted(map(tuple, lm.score_texts(docs.repartition(n)).collect())) for n in (1, 7))
+    assert one == many
 
 
 def test_rollup_follows_changes(spark):
@@ -335,6 +425,28 @@ def test_word_vectors_come_from_all_documents(spark):
     assert np.allclose(words[only], index[only] + index[seen] / np.linalg.norm(index[seen]), atol=1e-5)
 
 
+@pytest.mark.parametrize("name", ["op3_toxicity", "op9_quality_classifier"])
+def test_held_out_labels_change_nothing(spark, sf, tmp_path, name):
+    """The scores stay when every held-out label is turned over."""
+    folds, held = (3, 1) if name.startswith("op3") else (5, 0)
+    turned = _table(spark, sf, "labels").toPandas()
+    out = np.array([zlib.crc32(str(i).encode()) % folds == held for i in turned.doc_id])
+    for label in ("quality", "toxic"):
+        turned.loc[out, label] = 1 - turned.loc[out, label]
+    turned.to_parquet(tmp_path / "labels.parquet")
+    for t in ("documents", "benchmark"):
+        (tmp_path / f"{t}.parquet").symlink_to(os.path.join(sf, f"{t}.parquet"))
+    before, after = (sorted(map(tuple, QUERIES[name](spark, str(d)).collect())) for d in (sf, tmp_path))
+    assert out.any() and before == after
+
+
+def test_labels_other_than_0_and_1_are_not_learnt(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 7, 7) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in quality.score_quality(docs, labels).collect()} == {0.5}
+    assert {r["score"] for r in toxicity.score_toxicity(docs, labels).collect()} == {0.5}
+
+
 def test_dictionary_covers_bodies_of_all_sampled_texts():
     rng = np.random.default_rng(6)
     word = lambda first: "".join(chr(first + int(k)) for k in rng.integers(0, 20, 6))
