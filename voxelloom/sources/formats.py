@@ -405,6 +405,127 @@ def read_n5(spark: SparkSession, path: str, axes: str = "zyx") -> DataFrame:
     return _with_unstored(files, pattern, counts, run, empty)
 
 
+def n5_datasets(spark: SparkSession, root: str) -> list[dict]:
+    """Setup, timepoint and attributes of every setupN/timepointM/s0 that has attributes."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/setup*/timepoint*/s0/attributes.json")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    out = []
+    for status in found:  # one small file for each dataset
+        name = status.getPath().toString()
+        setup, t = re.search(r"/setup(\d+)/timepoint(\d+)/", name).groups()
+        out.append({"setup": int(setup), "timepoint": int(t), **json.loads(_read_text(spark, name))})
+    return sorted(out, key=lambda d: (d["setup"], d["timepoint"]))
+
+
+def n5_summary(datasets: list[dict], setups: dict[int, tuple[int, int]]) -> dict[str, int]:
+    """Canonical shape of a collection; volumes that differ in size or type are refused."""
+    known = [d for d in datasets if d["setup"] in setups]
+    if not known:
+        raise ValueError("no dataset belongs to a known setup")
+    kinds = {(tuple(d["dimensions"]), d["dataType"]) for d in known}
+    if len(kinds) != 1:
+        raise ValueError(f"datasets differ: {sorted(kinds)}")
+    x, y, z = (list(next(iter(kinds))[0]) + [1, 1])[:3]
+    places = {setups[d["setup"]] for d in known}
+    times = {d["timepoint"] for d in known}
+    if len({(d["setup"], d["timepoint"]) for d in known}) != len(places) * len(times):
+        raise ValueError("some setups lack some time points")
+    return {"t": len(times), "p": len({p for p, _ in places}), "c": len({c for _, c in places}), "z": z, "y": y, "x": x}
+
+
+def read_n5_collection(spark: SparkSession, root: str, setups: dict[int, tuple[int, int]]) -> DataFrame:
+    """Chunk rows of setupN/timepointM/s0 datasets; setups give (p, c), ranks of time points t.
+
+    One scan reads the blocks of all datasets; blocks that are not stored hold 0.
+    """
+    datasets = n5_datasets(spark, root)
+    n5_summary(datasets, setups)
+    known = {(d["setup"], d["timepoint"]): d for d in datasets if d["setup"] in setups}
+    rank = {t: i for i, t in enumerate(sorted({t for _, t in known}))}
+    one = next(iter(known.values()))
+    shape, sizes = (list(one["dimensions"]) + [1, 1])[:3], (list(one["blockSize"]) + [1, 1])[:3]
+    depth = len(one["dimensions"])
+    compression = one.get("compression")
+    kind = compression.get("type", "raw") if isinstance(compression, dict) else one.get("compressionType", "raw")
+    dtype = np.dtype(one["dataType"])
+    pattern = r"/setup(\d+)/timepoint(\d+)/s0/" + "/".join([r"(\d+)"] * depth) + "$"
+
+    def placed(setup: int, t: int, key: list[int], block: np.ndarray) -> pd.DataFrame:
+        start = [k * n for k, n in zip(key + [0] * (3 - depth), sizes, strict=True)]
+        p, c = setups[setup]
+        return chunk_rows(block, "zyx", {"t": rank[t], "p": p, "c": c, "x": start[0], "y": start[1], "z": start[2]})
+
+    def stored(parts):
+        for pdf in parts:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                setup, t, *key = map(int, re.search(pattern, name).groups())
+                if (setup, t) not in known:
+                    continue
+                mode, n = struct.unpack_from(">HH", content)
+                dims = (list(struct.unpack_from(f">{n}I", content, 4)) + [1, 1])[:3]
+                raw = decode_block(content[4 + 4 * n + (4 if mode == 1 else 0) :], kind)
+                yield placed(setup, t, key, np.frombuffer(raw, dtype.newbyteorder(">")).reshape(dims[::-1]).astype(dtype))
+
+    def empty(parts):
+        for pdf in parts:
+            for setup, t, place in zip(pdf["setup"], pdf["timepoint"], pdf["place"], strict=True):
+                key = [int(k) for k in np.unravel_index(int(place), counts)]
+                dims = [min(n, s - k * n) for n, s, k in zip(sizes, shape, key + [0] * (3 - depth), strict=True)]
+                yield placed(int(setup), int(t), key, np.zeros(dims[::-1], dtype))
+
+    counts = [-(-s // n) for s, n in zip(shape[:depth], sizes[:depth], strict=True)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").rlike(pattern))
+    part = lambda i: F.regexp_extract("path", pattern, i).cast("long")
+    place = F.lit(0).cast("long")
+    for i, n in enumerate(counts):
+        place = place * n + part(i + 3)
+    have = files.select(part(1).alias("setup"), part(2).alias("timepoint"), place.alias("place"))
+    wanted = spark.createDataFrame([(s, t) for s, t in known], "setup long, timepoint long")
+    wanted = wanted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(np.prod(counts)) - 1).cast("long"))).alias("place"))
+    missing = wanted.join(have, ["setup", "timepoint", "place"], "left_anti")
+    return files.select("path", "content").mapInPandas(stored, CHUNK_FIELDS).unionByName(missing.mapInPandas(empty, CHUNK_FIELDS))
+
+
+def array_paths(spark: SparkSession, root: str) -> list[tuple[str, tuple]]:
+    """(path, shape) of every Zarr array below a group, by path."""
+    jvm = spark.sparkContext._jvm
+    out, todo = [], [jvm.org.apache.hadoop.fs.Path(root)]
+    system = todo[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while todo:
+        folder = todo.pop()
+        path = folder.toString()
+        try:
+            out.append((path, tuple(zarr_metadata(spark, path)["shape"])))
+        except (FileNotFoundError, KeyError):
+            todo += [s.getPath() for s in system.listStatus(folder) if s.isDirectory()]
+    return sorted(out)
+
+
+def open_zarr_group(spark: SparkSession, root: str) -> DataFrame:
+    """An OME image or plate, or else the largest array below the group (ties by path)."""
+    if multiscale_levels(spark, root) or collection_images(spark, root) != [root]:
+        return read_ome_zarr(spark, root)
+    found = [(p, s) for p, s in array_paths(spark, root) if len(s) in DEFAULT_AXES]
+    if not found:
+        raise ValueError(f"no image array below {root}")
+    return read_zarr(spark, max(found, key=lambda f: int(np.prod(f[1])))[0])
+
+
+def probe(spark: SparkSession, path: str) -> dict:
+    """Shape, type and axes of a source without its pixels."""
+    low = path.lower()
+    if low.endswith((".tif", ".tiff", ".npy", ".npz")):
+        row = spark.read.format("binaryFile").load(path).select("content").first()
+        suffix = next(s for s in DECODERS if low.endswith(s))
+        array, named = decode_tiff_image(bytes(row["content"])) if suffix.startswith(".tif") else (DECODERS[suffix](bytes(row["content"])), None)
+        return {"shape": tuple(array.shape), "dtype": array.dtype.name, "axes": named or infer_axes(array.shape)}
+    levels = multiscale_levels(spark, path)
+    meta = zarr_metadata(spark, levels[0]["path"] if levels else path)
+    named = (levels[0]["axes"] if levels else None) or ("".join(meta["axes"]) if meta["axes"] else infer_axes(tuple(meta["shape"])))
+    return {"shape": tuple(meta["shape"]), "dtype": np.dtype(meta["dtype"]).name, "axes": named}
+
+
 def multiscale_levels(spark: SparkSession, path: str) -> list[dict]:
     """path, axes and scale of every level that a group's OME metadata name."""
     attrs = json.loads(_read_text(spark, f"{path}/.zattrs") or "{}")
@@ -464,7 +585,7 @@ def open_image(spark: SparkSession, path: str, axes: str | None = None) -> DataF
         raise UnavailableFormat("HDF5 needs h5py, which is not installed")
     # every reader in turn; one that does not know the source leaves it to the next
     tried = []
-    for reader in (read_zarr, lambda s, p, a: read_ome_zarr(s, p), read_n5):
+    for reader in (read_zarr, lambda s, p, a: open_zarr_group(s, p), read_n5):
         try:
             return reader(spark, path, axes) if reader is not read_n5 else read_n5(spark, path, axes or "zyx")
         except (FileNotFoundError, KeyError, ValueError) as e:
