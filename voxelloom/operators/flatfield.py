@@ -57,3 +57,24 @@ def blended_profile(tiles: DataFrame) -> DataFrame:
     """Weighted mean of overlapping tile profiles: (p, c, y, x, w, value)."""
     sums = tiles.groupBy("p", "c", "y", "x").agg(F.sum(F.col("value") * F.col("w")).alias("a"), F.sum("w").alias("w"))
     return sums.select("p", "c", "y", "x", (F.col("a") / F.greatest("w", F.lit(FLOOR))).alias("value"), F.col("w").alias("weight"))
+
+
+def tile_weights(shape_yx: tuple[int, int], core_yx: tuple[tuple[int, int], tuple[int, int]]) -> list[list[float]]:
+    """Weights of one tile's pixels: the product of the weights along y and x."""
+    rows, columns = (feather_weights(n, *core) for n, core in zip(shape_yx, core_yx, strict=True))
+    return [[a * b for b in columns] for a in rows]
+
+
+def identity_profile(voxels: DataFrame) -> DataFrame:
+    """(p, c, y, x, flat, dark): 1 and 0 everywhere, for positions whose fit failed."""
+    return voxels.select("p", "c", "y", "x").distinct().select("*", F.lit(1.0).alias("flat"), F.lit(0.0).alias("dark"))
+
+
+def with_fallback(tiles: DataFrame, failed: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Tile profiles (tile, p, c, y, x, w, value) in which every tile of a (p, c)
+    that ``failed`` names holds the fallback profile (p, c, y, x, value), so that
+    the blended profile equals it."""
+    bad = failed.select("p", "c").distinct()
+    kept = tiles.join(bad, ["p", "c"], "left_anti")
+    replaced = tiles.join(bad, ["p", "c"]).drop("value").join(fallback, ["p", "c", "y", "x"])
+    return kept.select("tile", "p", "c", "y", "x", "w", "value").unionByName(replaced.select("tile", "p", "c", "y", "x", "w", "value"))

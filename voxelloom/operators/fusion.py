@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelloom.operators import regions
+
 MODES = ("average", "feather", "center_weighted", "content_aware", "gain_compensated_feather")
 WEIGHT_FLOOR = 1e-6
 
@@ -59,10 +61,10 @@ def fuse_translated(
     ``offsets`` (p, oz, oy, ox) is one row per tile.  Where no weight falls
     the result is 0.  ``gains`` (t, p, gain, offset) are applied first.
     """
-    rows = voxels.join(F.broadcast(offsets), "p")
+    rows = voxels.join(offsets, "p")
     value = F.col("v").cast("double")
     if gains is not None:
-        rows = rows.join(F.broadcast(gains), ["t", "p"])
+        rows = rows.join(gains, ["t", "p"])
         value = value * F.col("gain") + F.col("offset")
     placed = rows.select(
         "t", "c", *[(F.col(a) + F.col(f"o{a}")).alias(f"w{a}") for a in "zyx"],
@@ -82,24 +84,11 @@ def apply_gains(voxels: DataFrame, gains: DataFrame) -> DataFrame:
 def chunk_tile_pairs(chunks: DataFrame, boxes: DataFrame) -> DataFrame:
     """Output chunks with the tiles whose boxes overlap them strictly.
 
-    Both sides are dealt to cells of the size of the largest chunk, so the join
-    is one of equal keys; a pair is kept in the cell of its overlap's corner.
-    Touching boxes do not overlap.
+    Both sides are dealt to cells of the size of the largest chunk.
     """
     size = chunks.agg(*[F.max(F.col(f"chunk_max_{a}") - F.col(f"chunk_min_{a}")).alias(a) for a in "xyz"]).first()
-    match = F.lit(True)
-    for a in "xyz":
-        step = F.lit(float(size[a] or 1.0))
-        for side, low, high in (("c", f"chunk_min_{a}", f"chunk_max_{a}"), ("b", f"min_{a}", f"max_{a}")):
-            cells = F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))).alias(f"_{side}{a}")
-            if side == "c":
-                chunks = chunks.select("*", cells)
-            else:
-                boxes = boxes.select("*", cells)
-        corner = F.floor(F.greatest(f"min_{a}", f"chunk_min_{a}") / step)
-        match = match & (F.col(f"_c{a}") == F.col(f"_b{a}")) & (F.col(f"_c{a}") == corner)
-        match = match & (F.col(f"min_{a}") < F.col(f"chunk_max_{a}")) & (F.col(f"max_{a}") > F.col(f"chunk_min_{a}"))
-    return chunks.join(boxes, match).drop(*[f"_{side}{a}" for side in "cb" for a in "xyz"])
+    bounds = {a: tuple(F.col(n) for n in (f"chunk_min_{a}", f"chunk_max_{a}", f"min_{a}", f"max_{a}")) for a in "xyz"}
+    return regions.box_join(chunks, boxes, bounds, {a: size[a] or 1.0 for a in "xyz"})
 
 
 def chunk_memory(chunks: DataFrame) -> DataFrame:

@@ -96,6 +96,14 @@ def halo_tiles(spark: SparkSession, shape: dict[str, int], tile: dict[str, int],
     return rows
 
 
+def transform_table(spark: SparkSession, shape: dict[str, int], tile: dict[str, int]) -> DataFrame:
+    """One row for each (t, p, c) and y, x tile, with the whole depth."""
+    rows = tile_table(spark, {a: shape[a] for a in "yx"}, tile)
+    for k in "tpc":
+        rows = rows.withColumn(k, F.explode(F.sequence(F.lit(0), F.lit(shape[k] - 1))))
+    return rows.select("t", "p", "c", F.lit(0).alias("z_start"), F.lit(shape["z"]).alias("z_stop"), "y_start", "y_stop", "x_start", "x_stop")
+
+
 def chunk_starts(size: int, chunk: int, overlap: int) -> list[int]:
     """Starts chunk - overlap apart; the last chunk ends with the axis."""
     step = max(1, chunk - overlap)

@@ -96,8 +96,8 @@ def grow_box(boxes: DataFrame, shape: dict[str, int], buffer: int) -> DataFrame:
 
 
 def crop_to_boxes(voxels: DataFrame, boxes: DataFrame, keys: list[str], axes: str = "zyx") -> DataFrame:
-    """Voxels inside the box of their key; one box row per key is broadcast."""
-    joined = voxels.join(F.broadcast(boxes), keys)
+    """Voxels inside the box of their key."""
+    joined = voxels.join(boxes, keys)
     for axis in axes:
         joined = joined.where((F.col(axis) >= F.col(f"{axis}_start")) & (F.col(axis) < F.col(f"{axis}_stop")))
     return joined.select(*voxels.columns)
@@ -137,3 +137,21 @@ def display_level(levels: DataFrame, budget: int) -> DataFrame:
     """First level within the voxel budget, else the last one."""
     fits = F.min(F.when(F.col("voxels") <= budget, F.col("level")))
     return levels.agg(F.coalesce(fits, F.max("level")).alias("level"))
+
+
+def box_join(left: DataFrame, right: DataFrame, bounds: dict[str, tuple[Column, Column, Column, Column]], size: dict[str, float]) -> DataFrame:
+    """Pairs of rows whose half-open boxes overlap; touching boxes do not.
+
+    ``bounds`` names for each axis the left box's start and stop and the right
+    one's.  Both sides are dealt to cells of ``size``, so this is a join on
+    equal keys; a pair is kept in the cell of its overlap's first corner.
+    """
+    match = F.lit(True)
+    for a, (l0, l1, r0, r1) in bounds.items():
+        step = F.lit(float(size[a]))
+        left = left.select("*", F.explode(F.sequence(F.floor(l0 / step), F.floor(l1 / step))).alias(f"_l{a}"))
+        right = right.select("*", F.explode(F.sequence(F.floor(r0 / step), F.floor(r1 / step))).alias(f"_r{a}"))
+    for a, (l0, l1, r0, r1) in bounds.items():
+        corner = F.floor(F.greatest(l0, r0) / F.lit(float(size[a])))
+        match = match & (F.col(f"_l{a}") == F.col(f"_r{a}")) & (F.col(f"_l{a}") == corner) & (l0 < r1) & (l1 > r0)
+    return left.join(right, match).drop(*[f"_{side}{a}" for side in "lr" for a in bounds])

@@ -193,11 +193,11 @@ def measure_edges(voxels: DataFrame, edges: DataFrame, transforms: DataFrame, vo
     whose padded box holds it, so that an edge of a time point is one task.
     """
     sides = edges.withColumn("p", F.explode(F.array("fixed", "moving")))
-    world = voxels.join(F.broadcast(transforms), "p")
+    world = voxels.join(transforms, "p")
     for i, a in enumerate("xyz"):
         place = sum((F.col(f"m{i}{j}") * F.col(b) * float(voxel_xyz[j]) for j, b in enumerate("xyz")), F.col(f"m{i}3"))
         world = world.withColumn(f"w{a}", place)
-    rows = world.select("t", "p", "wx", "wy", "wz", "v").join(F.broadcast(sides), "p")  # one row per tile pair and side
+    rows = world.select("t", "p", "wx", "wy", "wz", "v").join(sides, "p")  # one row per tile pair and side
     for a, size in zip("xyz", voxel_xyz, strict=True):
         edge = pad * size + 1e-6
         rows = rows.where((F.col(f"w{a}") >= F.col(f"min_{a}") - edge) & (F.col(f"w{a}") < F.col(f"max_{a}") + edge))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators import fusion, kernels
+from voxelloom.operators import fusion, kernels, poses, regions
 from voxelloom.sources.voxels import CHUNK_FIELDS, block_of
 
 
@@ -28,16 +28,16 @@ def fuse(
     """Chunk rows of the fused volume of each (t, c).
 
     ``affines`` maps p to its 4 x 4 local-to-world matrix in micrometres and
-    ``gains`` p to (gain, offset).  A source tile goes to the output chunks
-    that its box overlaps strictly; an output chunk is one task, which adds
-    weighted samples tile by tile in double and divides at the end.
+    ``gains`` p to (gain, offset).  A source chunk goes to the output chunks
+    that read it; an output chunk is one task, which holds of every tile only
+    the region that it needs, adds weighted samples in double and divides at
+    the end.  Content weights look at whole tiles, which then go whole.
     """
     origin, out_shape = output_frame(affines, shape_zyx, voxel_zyx)
     size = np.array(voxel_zyx[::-1], float)
     profiles = [np.array(fusion.blend_profile(n, o, mode, exponent)) for n, o in zip(shape_zyx, overlap_zyx, strict=True)]
     pairs = []
     for p, m in affines.items():
-        box, _ = output_frame({p: m}, shape_zyx, voxel_zyx)
         extent = np.array(shape_zyx[::-1]) * size
         corners = np.array([[(i >> k & 1) * extent[k] for k in range(3)] + [1.0] for i in range(8)]) @ np.asarray(m)[:3].T
         low, high = (corners.min(0) - origin) / size, (corners.max(0) - origin) / size
@@ -46,11 +46,17 @@ def fuse(
             for y in range(max(0, first[1]), last[1]):
                 for x in range(max(0, first[2]), last[2]):
                     start = np.array([z, y, x]) * tile_zyx
-                    if (start < out_shape).all():
-                        pairs.append((int(p), *start.tolist()))
-        del box
-    table = chunks.sparkSession.createDataFrame(pairs, "p int, oz int, oy int, ox int")
-    sent = chunks.join(F.broadcast(table), "p")  # one row per overlap of a tile and a chunk
+                    if not (start < out_shape).all():
+                        continue
+                    part = np.minimum(start + tile_zyx, out_shape) - start
+                    at = origin + start[::-1] * size
+                    read = tuple(slice(0, n) for n in shape_zyx) if mode == "content_aware" else poses.source_box(np.asarray(m), at, part, shape_zyx, voxel_zyx, 2)
+                    if read is not None:
+                        pairs.append((int(p), *start.tolist(), *(int(v) for s in read for v in (s.start, s.stop))))
+    table = chunks.sparkSession.createDataFrame(pairs, "rp int, oz int, oy int, ox int, rz int, sz int, ry int, sy int, rx int, sx int")
+    bounds = {a: (F.col(f"{a}0"), F.col(f"{a}0") + F.col(f"n{a}"), F.col(f"r{a}"), F.col(f"s{a}")) for a in "zyx"}
+    bounds["p"] = (F.col("p"), F.col("p") + 0.5, F.col("rp"), F.col("rp") + 0.5)
+    sent = regions.box_join(chunks, table, bounds, dict(zip("zyx", tile_zyx, strict=True)) | {"p": 1})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -60,13 +66,16 @@ def fuse(
         world = grid[::-1] * size[:, None] + origin[:, None]
         total, weights = np.zeros(grid.shape[1]), np.zeros(grid.shape[1])
         for p, own in pdf.groupby("p"):
-            volume = np.zeros(shape_zyx)
-            for _, row in own.iterrows():
-                block = block_of(row)
-                volume[tuple(slice(int(row[f"{a}0"]), int(row[f"{a}0"] + row[f"n{a}"])) for a in "zyx")] = block
+            low = np.array([own[f"r{a}"].iloc[0] for a in "zyx"])
+            high = np.array([own[f"s{a}"].iloc[0] for a in "zyx"])
+            volume = np.zeros(high - low)
+            for row in own.to_dict("records"):
+                block, at = block_of(row), np.array([row[f"{a}0"] for a in "zyx"])
+                a, b = np.maximum(at, low), np.minimum(at + block.shape, high)
+                volume[tuple(slice(*k) for k in zip(a - low, b - low, strict=True))] = block[tuple(slice(*k) for k in zip(a - at, b - at, strict=True))]
             inverse = np.linalg.inv(np.asarray(affines[p]))
             local = ((inverse[:3, :3] @ world + inverse[:3, 3:]) / size[:, None])[::-1]
-            value, support = kernels.sample_linear(volume, local, 0.0, support=True)
+            value, support = kernels.sample_linear(volume, local - low[:, None], 0.0, support=True)
             near = [np.clip(np.rint(local[k]).astype(int), 0, shape_zyx[k] - 1) for k in range(3)]
             w = profiles[0][near[0]] * profiles[1][near[1]] * profiles[2][near[2]] * (support > 1 - 1e-6)
             if mode == "content_aware":

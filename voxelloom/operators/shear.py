@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators import kernels
-from voxelloom.sources.voxels import CHUNK_FIELDS, block_of
+from voxelloom.operators import kernels, regions
+from voxelloom.sources.voxels import CHUNK_FIELDS, block_of, chunk_batch
 
 
 @dataclass(frozen=True)
@@ -98,10 +98,11 @@ def transform(chunks: DataFrame, shape_zyx, voxel_zyx, params: ShearParams, tile
                 tiles.append((*start, *stop, *(v for pair in (read or [(0, 0)] * 3) for v in pair)))
     names = [f"{s}_{a}" for s in ("a", "b") for a in "zyx"] + [f"{s}{a}" for a in "zyx" for s in ("r", "s")]
     table = chunks.sparkSession.createDataFrame(tiles, ", ".join(f"{n} int" for n in names))
-    meets = F.lit(True)
-    for a in "zyx":
-        meets = meets & (F.col(f"{a}0") < F.col(f"s{a}")) & (F.col(f"{a}0") + F.col(f"n{a}") > F.col(f"r{a}"))
-    sent = chunks.join(F.broadcast(table), meets)  # one row per output tile
+    table = table.where(" AND ".join(f"s{a} > r{a}" for a in "zyx"))
+    bounds = {a: (F.col(f"{a}0"), F.col(f"{a}0") + F.col(f"n{a}"), F.col(f"r{a}"), F.col(f"s{a}")) for a in "zyx"}
+    sent = regions.box_join(chunks, table, bounds, dict(zip("zyx", tile_zyx, strict=True)))
+    # tiles that read nothing hold the fill value
+    idle = [t[:6] for t in tiles if any(b <= a for a, b in zip(t[6::2], t[7::2], strict=True))]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -120,4 +121,14 @@ def transform(chunks: DataFrame, shape_zyx, voxel_zyx, params: ShearParams, tile
         row |= dict(zip(("nz", "ny", "nx"), shape, strict=True))
         return pd.DataFrame([row | {"dtype": "float32", "payload": out.tobytes()}])
 
-    return sent.groupBy("t", "p", "c", "a_z", "a_y", "a_x").applyInPandas(run, CHUNK_FIELDS)
+    made = sent.groupBy("t", "p", "c", "a_z", "a_y", "a_x").applyInPandas(run, CHUNK_FIELDS)
+    if not idle:
+        return made
+
+    def blank(batches):
+        for batch in batches:
+            for key in batch.to_pylist():
+                rows = [key | dict(zip(("z0", "y0", "x0"), t[:3], strict=True)) for t in idle]
+                yield chunk_batch(rows, [np.full([b - a for a, b in zip(t[:3], t[3:], strict=True)], params.fill, np.float32) for t in idle])
+
+    return made.unionByName(chunks.select("t", "p", "c").distinct().mapInArrow(blank, CHUNK_FIELDS))

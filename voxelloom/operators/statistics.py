@@ -40,20 +40,20 @@ def otsu_thresholds(voxels: DataFrame, keys: list[str], step: int = 4) -> DataFr
 def noise_normalized(voxels: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """(v - t) over the population deviation of v - t."""
     spread = voxels.groupBy(*keys).agg(F.stddev_pop("v").alias("_sd"))
-    facts = F.broadcast(thresholds.join(spread, keys))  # one row per key
+    facts = thresholds.join(spread, keys)
     return voxels.join(facts, keys).withColumn("v", (F.col("v") - F.col("threshold")) / F.col("_sd")).drop("threshold", "_sd")
 
 
 def minimal_box(voxels: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """Box around the voxels above the threshold; stops are exclusive."""
-    above = voxels.join(F.broadcast(thresholds), keys).where("v > threshold")
+    above = voxels.join(thresholds, keys).where("v > threshold")
     sides = [x for a in "zyx" for x in (F.min(a).alias(f"{a}_start"), (F.max(a) + 1).alias(f"{a}_stop"))]
     return above.groupBy(*keys).agg(*sides)
 
 
 def robust_box(voxels: DataFrame, thresholds: DataFrame, keys: list[str], low: float = 0.1, high: float = 99.9) -> DataFrame:
     """Box from cumulative marginal counts of the voxels above the threshold."""
-    above = voxels.join(F.broadcast(thresholds), keys).where("v > threshold")
+    above = voxels.join(thresholds, keys).where("v > threshold")
     marks = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("i")) for a in "zyx"]))
     marginal = above.select(*keys, marks.alias("m")).groupBy(*keys, "m.axis", "m.i").agg(F.count(F.lit(1)).alias("n"))
     by_axis = Window.partitionBy(*keys, "axis")
@@ -81,7 +81,7 @@ def intensity_fit(pairs: DataFrame, keys: list[str], clip: tuple[float, float] =
     both = pairs.where("fixed > 0 AND moving > 0")
     q = F.array(F.lit(0.01), F.lit(0.99))
     limits = both.groupBy(*keys).agg(F.percentile("moving", q).alias("m"), F.percentile("fixed", q).alias("f"), F.count(F.lit(1)).alias("all"))
-    marked = both.join(F.broadcast(limits), keys).withColumn(
+    marked = both.join(limits, keys).withColumn(
         "in", (F.col("moving").between(F.col("m")[0], F.col("m")[1]) & F.col("fixed").between(F.col("f")[0], F.col("f")[1])).cast("int")
     )
     sums = []

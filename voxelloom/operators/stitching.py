@@ -60,7 +60,7 @@ def stitch(pixels: DataFrame, offsets: DataFrame, shape_yx: tuple[int, int], til
     profiles = F.create_map(
         *[x for p in range(tiles) for x in (F.lit(p), F.array(*[F.lit(float(w)) for w in fusion.stitch_profile(shape_yx[1], p, tiles, overlap, floor)]))]
     )
-    rows = pixels.join(F.broadcast(offsets), "p").withColumn("w", F.element_at(F.element_at(profiles, F.col("p")), F.col("x") + 1))
+    rows = pixels.join(offsets, "p").withColumn("w", F.element_at(F.element_at(profiles, F.col("p")), F.col("x") + 1))
     sums = rows.groupBy("t", "c", (F.col("y") + F.col("oy")).alias("wy"), (F.col("x") + F.col("ox")).alias("wx")).agg(
         F.sum(F.col("v") * F.col("w")).alias("a"), F.sum("w").alias("w")
     )

@@ -211,6 +211,26 @@ SELECT store, run_index, bad_self, bad_prev FROM k WHERE bad_self OR bad_prev"""
     "audit_sequence": "SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS sequence FROM events",
     "audit_latest_reference": "SELECT o_orderpriority AS operation, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS component FROM orders GROUP BY 1",
     "dependency_antijoin": "SELECT l_orderkey AS component, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
+    "audit_redact": """SELECT event_id, '{"a":[{"Password":"[REDACTED]"}],"props":{"k":' || (props::JSON ->> 'k') || '},"token":"[REDACTED]"}' AS payload FROM events""",
+    "chunk_mip_xy": f"WITH {VOX} SELECT t, p, c, y, x, max(v) AS v FROM v GROUP BY ALL",
+    "chunk_mip_xz": f"WITH {VOX} SELECT t, p, c, z, x, max(v) AS v FROM v GROUP BY ALL",
+    "chunk_mip_yz": f"WITH {VOX} SELECT t, p, c, z, y, max(v) AS v FROM v GROUP BY ALL",
+    "chunk_stride": f"WITH {VOX} SELECT t, p, c, (z // 3)::INT AS z, (y // 2)::INT AS y, (x // 4)::INT AS x, v FROM v WHERE z % 3 = 0 AND y % 2 = 0 AND x % 4 = 0",
+    "chunk_histogram": f"WITH {VOX} SELECT c, least(19, (v - 1000) // 100)::INT AS bin, count(*) AS n FROM v WHERE v BETWEEN 1000 AND 3000 GROUP BY ALL",
+    "chunk_fuse_feather": f"""WITH {VOX}, w AS (SELECT t, c, z, y, x + 6 * p AS x, v, CASE WHEN x IN (0, 7) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM v),
+s AS (SELECT t, c, z, y, x, sum(v * w) AS a, sum(w) AS w FROM w GROUP BY t, c, z, y, x)
+SELECT t, c, z, y, x::INT AS x, least(65535, round_even(a / w, 0))::INT AS v FROM s WHERE w > 0 AND a > 0""",
+    "fit_tiles": f"""WITH {VOX}, n AS (SELECT max(p) AS p, max(c) AS c FROM v)
+SELECT y::INT AS y_start, least(y + 3, 8)::INT AS y_stop, x::INT AS x_start, least(x + 5, 8)::INT AS x_stop, greatest(y - 1, 0)::INT AS y_read_start, least(y + 4, 8)::INT AS y_read_stop,
+greatest(x - 2, 0)::INT AS x_read_start, least(x + 7, 8)::INT AS x_read_stop, i::INT AS p, j::INT AS c FROM range(0, 8, 3) a(y), range(0, 8, 5) b(x), (SELECT unnest(range(0, p + 1)) AS i FROM n), (SELECT unnest(range(0, c + 1)) AS j FROM n)""",
+    "transform_tiles": f"""WITH {VOX}, k AS (SELECT DISTINCT t, p, c FROM v)
+SELECT t, p, c, 0 AS z_start, 10 AS z_stop, y::INT AS y_start, least(y + 4, 8)::INT AS y_stop, x::INT AS x_start, least(x + 5, 8)::INT AS x_stop FROM k, range(0, 8, 4) a(y), range(0, 8, 5) b(x)""",
+    "tile_weight_products": """WITH a AS (SELECT y, CASE WHEN y < 2 THEN (y + 1) / 3.0::DOUBLE WHEN y >= 5 THEN 1 - (y - 4) / 3.0::DOUBLE ELSE 1.0 END AS w FROM range(0, 7) r(y)),
+b AS (SELECT x, CASE WHEN x < 1 THEN (x + 1) / 2.0::DOUBLE WHEN x >= 4 THEN 1 - (x - 3) / 2.0::DOUBLE ELSE 1.0 END AS w FROM range(0, 5) r(x))
+SELECT y::INT AS y, x::INT AS x, round(greatest(a.w, 1e-3) * greatest(b.w, 1e-3), 6) + 0.0 AS w FROM a, b""",
+    "particle_overlay": f"WITH {DET} SELECT t, c, z, y, x, sigma, intensity FROM det WHERE p = 2",
+    "detection_rows": f"""WITH {DET}, n AS (SELECT *, row_number() OVER (ORDER BY t, p, z, y, x, c, sigma, intensity) - 1 AS row FROM det)
+SELECT row, row // 16384 AS chunk, t, p, c, z, y, x, sigma, intensity FROM n""",
     "tiff_name_parse": f"WITH {VOX}, {PATHS} SELECT t, p, c, path FROM paths",
     "collection_completeness": f"""WITH {VOX}, {PATHS}, k AS (SELECT * FROM paths WHERE NOT (p = 2 AND t % 3 = 1) AND NOT (p = 4 AND c = 1 AND t = 0))
 SELECT a.t, b.p, d.c FROM (SELECT DISTINCT t FROM k) a, (SELECT DISTINCT p FROM k) b, (SELECT DISTINCT c FROM k) d EXCEPT SELECT t, p, c FROM k""",

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from voxelloom import functions as V
 from voxelloom.operators import collections as C
 from voxelloom.operators import (
-    detection, flatfield, fusion, geometry, ledger, projection, regions, registration, render, segmentation, shear, statistics, stitching,
+    blocks, detection, flatfield, fusion, geometry, grids, keypoints, ledger, projection, regions, registration, render, segmentation, shear,
+    statistics, stitching,
 )
+from voxelloom.sources import sinks
 from voxelloom.sources.voxels import embedding_voxels, table
 
 #: Fixed value: boxes take their threshold from every 8th voxel.
@@ -623,6 +625,89 @@ def dependency_antijoin(spark, sf_dir):
     return refs.join(have, "component", "left_anti")
 
 
+# chunk forms, tiles and tables
+
+
+def _chunks(spark, sf_dir, size=(5, 8, 4)):
+    from voxelloom.sources.voxels import to_chunks
+
+    return to_chunks(embedding_voxels(spark, sf_dir), size, "uint16")
+
+
+def _plane(spark, sf_dir, axis):
+    from voxelloom.sources.voxels import to_voxels
+
+    return to_voxels(blocks.max_planes(_chunks(spark, sf_dir), axis)).withColumn("v", F.col("v").cast("int")).drop(axis)
+
+
+@query
+def chunk_mip_xy(spark, sf_dir):
+    return _plane(spark, sf_dir, "z")
+
+
+@query
+def chunk_mip_xz(spark, sf_dir):
+    return _plane(spark, sf_dir, "y")
+
+
+@query
+def chunk_mip_yz(spark, sf_dir):
+    return _plane(spark, sf_dir, "x")
+
+
+@query
+def chunk_stride(spark, sf_dir):
+    from voxelloom.sources.voxels import to_voxels
+
+    return to_voxels(blocks.stride(_chunks(spark, sf_dir), {"z": 3, "y": 2, "x": 4})).withColumn("v", F.col("v").cast("int"))
+
+
+@query
+def chunk_histogram(spark, sf_dir):
+    return blocks.histogram(_chunks(spark, sf_dir), 1000, 3000, 20, ("c",))
+
+
+@query
+def chunk_fuse_feather(spark, sf_dir):
+    """The fused volume without the voxels on which no tile has weight."""
+    from voxelloom.sources.voxels import to_voxels
+
+    weights = tuple(fusion.blend_profile(SHAPE[a], {"z": 0, "y": 0, "x": 2}[a]) for a in "zyx")
+    fused = blocks.fuse(_chunks(spark, sf_dir), {o[0]: o[1:] for o in TILE_OFFSETS}, (10, 8, 8), (4, 8, 16), weights)
+    return to_voxels(fused).where("v > 0").select("t", "c", "z", "y", "x", F.col("v").cast("int").alias("v"))
+
+
+@query
+def fit_tiles(spark, sf_dir):
+    """Core and read bounds of profile tiles for each (p, c) of the voxels."""
+    n = embedding_voxels(spark, sf_dir).agg(*[(F.max(a) + 1).alias(a) for a in "pcyx"]).first()
+    return grids.halo_tiles(spark, {"y": n["y"], "x": n["x"]}, {"y": 3, "x": 5}, {"y": 1, "x": 2}, {"p": n["p"], "c": n["c"]})
+
+
+@query
+def transform_tiles(spark, sf_dir):
+    """Tiles of full depth for each (t, p, c) of the voxels."""
+    n = embedding_voxels(spark, sf_dir).agg(*[(F.max(a) + 1).alias(a) for a in "tpcyxz"]).first()
+    return grids.transform_table(spark, {a: n[a] for a in "tpczyx"}, {"y": 4, "x": 5})
+
+
+@query
+def tile_weight_products(spark, sf_dir):
+    rows = flatfield.tile_weights((7, 5), ((2, 5), (1, 4)))
+    cells = [(y, x, w) for y, line in enumerate(rows) for x, w in enumerate(line)]
+    return spark.createDataFrame(cells, "y int, x int, w double").select("y", "x", r6("w"))
+
+
+@query
+def particle_overlay(spark, sf_dir):
+    return keypoints.overlay(_detections(spark, sf_dir), 2)
+
+
+@query
+def detection_rows(spark, sf_dir):
+    return sinks.detection_chunks(_detections(spark, sf_dir))
+
+
 # acquisition files and movies
 
 
