@@ -1,11 +1,12 @@
 """Operator 3 - toxicity by a bidirectional gated recurrent network.
 
-Each word enters as a hashed word embedding plus embeddings of its first,
-middle and last character trigram.  A bidirectional GRU reads windows of
-words, attention pools its states and a logistic unit scores the window; the
+Each word (a run of letters and digits) enters as a hashed word embedding plus
+embeddings of the characters it begins with.  A bidirectional GRU reads windows
+of words, attention pools its states and a logistic unit scores the window; the
 network is trained in numpy by back-propagation through time on windows chosen
-anew from each labelled document as the network improves.  A document's score
-is the highest of all its overlapping windows, which cover the whole text.
+anew from all windows of each labelled document as the network improves.  A
+document's score is the highest of all its overlapping windows, which cover the
+whole text; every run of up to WINDOW - STRIDE + 1 words lies whole in one.
 
 Defined results
     * null or empty text: one window of padding is scored.
@@ -19,44 +20,55 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from voxelloom.llm import samples, textkit
 
 FOLDS, HELD = 3, 1
-#: Labelled documents of each label that the network is fitted on, at most,
-#: and windows kept of each of them for the fit.
+#: Labelled documents of each label that the network is fitted on, and bytes of
+#: their texts, at most; a text that would go beyond is left out whole.
 SAMPLE_PER_LABEL = 1500
-FIT_WINDOWS = 48
+SAMPLE_BYTES = 12 << 20
 THRESHOLD = 0.7
 
-WINDOW, STRIDE = 48, 32
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 12
+WINDOW, STRIDE = 48, 24
+WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 13
+#: Bytes of the beginnings of words whose hashes are character inputs.
+PREFIXES = (3, 5, 7)
 EMBED, HIDDEN, ATTEND = 12, 8, 8
 INPUTS = WORD_BUCKETS + 3 * CHAR_BUCKETS
 BATCH, EPOCHS, RATE = 64, 6, 6e-3
 #: Small samples are passed over until the network has had this many updates.
 MIN_UPDATES = 500
 WARM_UPDATES = 90
+#: Documents that shrink a word's log-odds by half, share of it that its
+#: embedding starts from, and documents that must show an input.
+SHRINK, START, MIN_DOCS = 4, 0.3, 3
+#: Log-odds of a plainly toxic word.
+CLEAR = 1.5
 SCORE_BATCH = 1024
 
 
+#: ASCII signs divide words, but for the apostrophe.
+_LETTERS = bytes(i if i >= 128 or chr(i).isalnum() or i == 39 else 32 for i in range(256))
+
+
 def word_inputs(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets): four embedding rows for every word; row 0 pads."""
-    t = textkit.tokenize(texts)
+    t = textkit.tokenize([x.translate(_LETTERS) if x else x for x in texts])
     ids = np.zeros((len(t.hashes), 4), np.uint16)
     if not len(t.hashes):
         return ids, t.offsets
     ids[:, 0] = 1 + t.hashes % np.uint64(WORD_BUCKETS - 1)
-    b = t.buf.astype(np.uint32)
-    middle = (t.starts + t.ends) // 2 - 1
-    for k, at in enumerate((t.starts, np.maximum(middle, t.starts), np.maximum(t.ends - 3, t.starts))):
-        gram = np.zeros(len(at), np.uint32)
-        for j in range(3):
-            byte = np.where(at + j < t.ends, b[np.minimum(at + j, len(b) - 1)], 0).astype(np.uint32)
-            gram = gram * np.uint32(0x01000193) ^ byte
-        gram ^= gram >> np.uint32(15)
-        ids[:, 1 + k] = WORD_BUCKETS + k * CHAR_BUCKETS + gram % np.uint32(CHAR_BUCKETS)
+    b, gram = t.buf.astype(np.uint32), np.zeros(len(t.starts), np.uint32)
+    for j in range(PREFIXES[-1]):
+        byte = np.where(t.starts + j < t.ends, b[np.minimum(t.starts + j, len(b) - 1)], 0)
+        gram = gram * np.uint32(0x01000193) ^ byte
+        if j + 1 in PREFIXES:
+            k = PREFIXES.index(j + 1)
+            mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            ids[:, 1 + k] = WORD_BUCKETS + k * CHAR_BUCKETS + (mixed >> np.uint32(8)) % np.uint32(CHAR_BUCKETS)
     return ids, t.offsets
 
 
@@ -220,13 +232,14 @@ class Network:
                 m, v = state["m"][k], state["v"][k]
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
-                self.p[k] -= RATE * (m / fix1) / (np.sqrt(v / fix2) + 1e-7)
+                self.p[k] -= state["rate"] * (m / fix1) / (np.sqrt(v / fix2) + 1e-7)
             unique, at = np.unique(rows, return_inverse=True)
+            d_emb = np.repeat(d_emb, 4, axis=0) * self.known[rows.reshape(-1)][:, None]
             total = np.zeros((len(unique), EMBED), np.float32)
-            np.add.at(total, at.reshape(-1), np.repeat(d_emb, 4, axis=0))
+            np.add.at(total, at.reshape(-1), d_emb)
             seen = state["squares"]
             seen[unique] += (total * total).sum(1)
-            self.p["E"][unique] -= (10 * RATE) * total / (np.sqrt(seen[unique])[:, None] + 1e-6)
+            self.p["E"][unique] -= (10 * state["rate"]) * total / (np.sqrt(seen[unique])[:, None] + 1e-6)
 
 
 def fit_network(docs_windows: list[np.ndarray], labels: np.ndarray, seed: int = 21) -> Network:
@@ -234,25 +247,27 @@ def fit_network(docs_windows: list[np.ndarray], labels: np.ndarray, seed: int =
 
     A toxic document contributes the window that scores highest so far, a
     clean one its highest and a random window.  The first choice goes by the
-    log-odds of single words, until the network has had WARM_UPDATES.  From
-    then on a document labelled toxic in which no window looks toxic is taken
-    for a labelling error and not learnt by heart, if most others do.
+    log-odds of single words, until the network has had WARM_UPDATES.  Inputs
+    that fewer than MIN_DOCS documents show stay 0, so none is learnt by heart.
     """
     rng = np.random.default_rng(seed)
     sizes = np.array([len(w) for w in docs_windows])
     stacked = np.concatenate(docs_windows)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    seen = [np.zeros(WORD_BUCKETS), np.zeros(WORD_BUCKETS)]
+    seen = [np.zeros(INPUTS), np.zeros(INPUTS)]
     for w, label in zip(docs_windows, labels, strict=True):
-        seen[int(label)][np.unique(w[..., 0])] += 1
+        seen[int(label)][np.unique(w)] += 1
     odds = np.log((seen[1] + 0.5) / (labels.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - labels).sum() + 1))
     odds[0] = 0
-    value = odds[stacked[..., 0]].max(1)
+    shown = seen[0] + seen[1]
+    odds *= shown / (shown + SHRINK)
+    value = odds[stacked].max((1, 2))
     net = Network(seed)
     # words start from their log-odds, shrunk where few documents show them
-    shown = seen[0] + seen[1]
-    net.p["E"][:WORD_BUCKETS, 0] += (0.5 * odds * shown / (shown + 4)).astype(np.float32)
+    net.p["E"][:, 0] += (START * odds).astype(np.float32)
+    net.known = shown >= MIN_DOCS
+    net.p["E"][~net.known] = 0
     state = {
         "step": 0, "m": {k: np.zeros_like(v) for k, v in net.p.items() if k != "E"},
         "v": {k: np.zeros_like(v) for k, v in net.p.items() if k != "E"}, "squares": np.full(INPUTS, 1e-4, np.float32),
@@ -264,9 +279,6 @@ def fit_network(docs_windows: list[np.ndarray], labels: np.ndarray, seed: int =
         top = np.array([s + value[s:e].argmax() for s, e in zip(starts, ends, strict=True)])
         other = starts + rng.integers(0, 1 << 30, len(sizes)) % sizes
         positive, negative = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-        seen_toxic = value[top[positive]] >= 0.5
-        if epoch >= warm and 2 * seen_toxic.sum() > len(positive):
-            positive = positive[seen_toxic]
         copies = max(1, round(2 * len(negative) / len(positive) / 2))
         chosen = np.concatenate([np.tile(top[positive], copies), top[negative], other[negative]])
         y = np.concatenate([np.ones(len(positive) * copies), np.zeros(2 * len(negative))]).astype(np.float32)
@@ -274,6 +286,15 @@ def fit_network(docs_windows: list[np.ndarray], labels: np.ndarray, seed: int =
         said = other[rng.choice(negative, len(negative) // 3)]
         word = stacked[said, rng.integers(0, WINDOW, len(said))]
         ids = np.concatenate([stacked[chosen], np.repeat(word[:, None], WINDOW, axis=1)])
+        # half the toxic windows lose their plainest word if another one is left
+        toxic = ids[: len(positive) * copies]
+        strength = odds[toxic].max(2)
+        plainest = toxic[np.arange(len(toxic)), strength.argmax(1), 0]
+        same = toxic[..., 0] == plainest[:, None]
+        left = np.where(same, -9, strength).max(1) >= CLEAR
+        same &= (left & (rng.random(len(toxic)) < 0.5))[:, None]
+        toxic[same] = 0
+        state["rate"] = RATE * max(0.1, 1 - epoch / epochs)
         net.fit_epoch(ids, np.append(y, np.zeros(len(said), np.float32)), state, rng)
         if warm - 1 <= epoch < epochs - 1:
             value = net.prepare().score(stacked)
@@ -302,23 +323,22 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Fit on at most SAMPLE_PER_LABEL documents of each label."""
+    """Fit on all windows of at most SAMPLE_PER_LABEL documents of each label."""
     sample = samples.labelled_sample(docs, labels, label, FOLDS, HELD, SAMPLE_PER_LABEL)
 
+    size = F.sum(F.octet_length("text")).over(samples.in_order(label).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sample.select("doc_id", "label", size.alias("size")).where(F.col("size") <= SAMPLE_BYTES)
+    # at most SAMPLE_PER_LABEL ids of each label are broadcast
+    sample = sample.join(F.broadcast(sizes.select("doc_id")), "doc_id")
+
     def cut(parts):
         for pdf in parts:
-            cells = []
-            for text, doc_id in zip(pdf["text"], pdf["doc_id"], strict=True):
-                ids, _ = windows([text.encode("utf-8")])
-                if len(ids) > FIT_WINDOWS:
-                    ids = ids[np.random.default_rng(int(doc_id) & 0xFFFF).permutation(len(ids))[:FIT_WINDOWS]]
-                cells.append(ids.astype(np.uint16).tobytes())
+            cells = [windows([text.encode("utf-8")])[0].astype(np.uint16).tobytes() for text in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "ids": cells})
 
-    # at most 2 * SAMPLE_PER_LABEL rows of FIT_WINDOWS windows
+    # the windows of at most 2 * SAMPLE_BYTES of text, about three times as large
     rows = sample.mapInPandas(cut, "doc_id long, label int, ids binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["ids"]))
-    rows = [r for r in rows if r["label"] in (0, 1)]
     if not rows:
         return Model()
     y = np.array([r["label"] for r in rows], np.float32)
