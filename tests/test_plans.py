@@ -89,7 +89,7 @@ def test_without_llm(monkeypatch):
 
     def fake(name, *args, **kwargs):
         if name.startswith("voxelloom.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name="voxelloom.llm" if name != "corpus_pipeline" else name)
         return real(name, *args, **kwargs)
 
     kept = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("voxelloom.llm") or k in ("corpus_pipeline", "__spark_entry__")}
@@ -98,3 +98,60 @@ def test_without_llm(monkeypatch):
     assert "mip_xy" in module.queries() and not any(k.startswith("op") and k[2].isdigit() for k in module.queries())
     sys.modules.pop("__spark_entry__")
     sys.modules.update(kept)
+
+
+def test_references_and_layers():
+    flow = W.Workflow(("fusion", "visualization"), {"visualization": {"volume_layers": [{"component": "a"}, {}, {"source_component": "b"}], "input_source": " "}})
+    assert W.input_references(flow) == [("fusion", "input_source", "data"), ("visualization", "input_source", "data"),
+                                        ("visualization", "volume_layers[0].component", "a"), ("visualization", "volume_layers[2].component", "b")]
+    layers = W.volume_layers([{"component": "a"}, {"component": "a", "multiscale_policy": "off"}], {"a": 3})
+    assert [r["levels"] for r in layers] == [[0, 1, 2], [0]]
+    with pytest.raises(W.DependencyError):
+        W.volume_layers([{"component": "b", "multiscale_policy": "require"}], {"b": 1})
+
+
+def test_command_line(spark, tmp_path):
+    import numpy as np
+
+    from voxelloom.plans import run_ledger, runners
+
+    args = runners.parser().parse_args(["--file", "x", "--usegment3d", "--channel-indices", "2, 0,2", "--input-resolution-level", "1", "-r"])
+    flow = runners.workflow_of(args)
+    assert flow.selected == ("usegment3d", "registration")
+    assert flow.parameters["usegment3d"] == {"channel_indices": [2, 0], "channel_index": 2, "input_resolution_level": 1}
+    assert runners.channel_choice("ALL") == {"all_channels": True} and runners.channel_choice(None) == {}
+    for bad in (["--input-resolution-level", "-1"], ["--channel-indices", "a"]):
+        with pytest.raises(ValueError):
+            runners.workflow_of(runners.parser().parse_args(["--file", "x", *bad]))
+    cube = np.arange(60, dtype=np.uint16).reshape(3, 4, 5)
+    np.save(tmp_path / "a.npy", cube)
+    root = f"file://{tmp_path}/store"
+    assert runners.main(["--file", f"file://{tmp_path}/a.npy", "--store", root, "--mip-export", "--shear-transform", "--stage-axis-map", "z=+x,y=none,x=+y"]) == 0
+    sheared = spark.read.parquet(f"{root}/{W.OPERATIONS['shear_transform']}")
+    assert {(r["z"], r["y"], r["x"]): r["v"] for r in sheared.collect()} == {at: float(v) for at, v in np.ndenumerate(cube)}
+    assert len(list((tmp_path / "store" / W.OPERATIONS["mip_export"] / "files").glob("mip_*.tif"))) == 3
+    book = run_ledger.RunLedger(spark, root)
+    assert book.verify() == (True, []) and book.history("mip_export")["has_run"]
+
+
+def test_deconvolution_and_affine_fusion_run(spark, sf):
+    import numpy as np
+
+    from voxelloom.operators import kernels
+    from voxelloom.plans import runners
+    from voxelloom.sources.voxels import embedding_voxels
+
+    assert kernels.normalize_psf(np.array([-1.0, 1.0, 3.0])).tolist() == [0, 0.25, 0.75] and not kernels.normalize_psf(np.zeros(2)).any()
+    rows = embedding_voxels(spark, sf).where("t = 0 AND p < 2 AND c = 0")
+    psf = np.zeros((3, 3, 3))
+    psf[1, 1, 1] = 2.0
+    flow = W.Workflow(("deconvolution", "fusion"), {"deconvolution": {"psf": psf, "background": 0}, "fusion": {"affines": {0: np.eye(4), 1: np.eye(4)}, "blend_mode": "average"}})
+    made = W.run(spark, flow, {"data": rows}, runners.RUNNERS)
+    sharp = {(r["p"], r["z"], r["y"], r["x"]): r["v"] for r in made[W.OPERATIONS["deconvolution"]].collect()}
+    truth = {(r["p"], r["z"], r["y"], r["x"]): r["v"] for r in rows.collect()}
+    assert sharp.keys() == truth.keys() and all(abs(sharp[k] - truth[k]) < 0.05 * truth[k] for k in truth)
+    fused = {(r["z"], r["y"], r["x"]): r["v"] for r in made[W.OPERATIONS["fusion"]].collect()}
+    inner = [k for k in fused if all(0 < i < n - 1 for i, n in zip(k, (10, 8, 8), strict=True))]
+    assert inner and all(abs(fused[k] - (truth[(0, *k)] + truth[(1, *k)]) / 2) <= 0.5 for k in inner)
+    with pytest.raises(ValueError):
+        W.run(spark, W.Workflow(("deconvolution",)), {"data": rows}, runners.RUNNERS)

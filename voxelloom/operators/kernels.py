@@ -222,10 +222,15 @@ def masked_background(block: np.ndarray, sigma: float) -> np.ndarray:
     return np.where((mask > 0) & (weight > 0.01), low / np.maximum(weight, 0.01), 0.0)
 
 
+def normalize_psf(psf: np.ndarray) -> np.ndarray:
+    """Values not below 0 that sum to 1; all 0 where nothing is above 0."""
+    psf = np.maximum(psf, 0)
+    return psf / psf.sum() if psf.sum() > 0 else np.zeros_like(psf)
+
+
 def richardson_lucy(block: np.ndarray, psf: np.ndarray, rounds: int) -> np.ndarray:
     """Classic iteration by FFT; an approximation of a vendor's variant."""
-    psf = np.maximum(psf, 0)
-    psf = psf / psf.sum() if psf.sum() > 0 else np.zeros_like(psf)
+    psf = normalize_psf(psf)
     pad, axes = np.zeros(block.shape), tuple(range(block.ndim))
     pad[tuple(slice(0, n) for n in psf.shape)] = psf
     pad = np.roll(pad, [-(n // 2) for n in psf.shape], range(block.ndim))

@@ -22,7 +22,14 @@ IGNORED_PARAMETERS = ("execution_order", "force_rerun")
 
 def canonical_json(value) -> str:
     """Sorted keys at every depth, compact, ASCII."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True, default=_plain)
+
+
+def _plain(value):
+    """Arrays and numpy numbers as JSON has them."""
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    raise TypeError(f"{type(value).__name__} has no JSON form")
 
 
 def is_sensitive(key) -> bool:

@@ -99,6 +99,21 @@ def position_affine(dx: float, dy: float, dz: float, theta_deg: float) -> np.nda
     return out
 
 
+def position_affines(stage: list[dict], selected: list[int]) -> dict[int, np.ndarray]:
+    """Position affines of the selected stage rows (p, x, y, z, theta) against the first of them."""
+    rows = {int(r["p"]): r for r in stage}
+    known = [p for p in selected if p in rows]
+    if not known:
+        return {p: np.eye(6) for p in selected}
+    ref = rows[known[0]]
+    out = {}
+    for p in selected:
+        r = rows.get(p, ref)
+        dx, dy, dz, turn = (float(r[k]) - float(ref[k]) for k in ("x", "y", "z", "theta"))
+        out[p] = position_affine(dx, dy, dz, turn)
+    return out
+
+
 def translation_of(matrix: np.ndarray, centre=(0.0, 0.0, 0.0)) -> np.ndarray:
     """Translation of an affine that turns about ``centre``."""
     centre = np.asarray(centre, float)

@@ -85,6 +85,40 @@ def resolve_input(requested: str, produced: dict[str, str]) -> str:
     return requested
 
 
+def input_references(workflow: Workflow) -> list[tuple[str, str, str]]:
+    """(operation, field, requested source) of the selection, layers of the viewer included."""
+    out = []
+    for operation in workflow.sequence():
+        params = workflow.resolved(operation)
+        out.append((operation, "input_source", str(params["input_source"]).strip() or "data"))
+        for i, layer in enumerate(params.get("volume_layers") or [] if operation == "visualization" else []):
+            component = str(layer.get("component", layer.get("source_component", ""))).strip() if isinstance(layer, dict) else ""
+            if component:
+                out.append((operation, f"volume_layers[{i}].component", component))
+    return out
+
+
+def volume_layers(rows: list[dict], levels: dict[str, int]) -> list[dict]:
+    """Layers with their component and the levels they show.
+
+    ``levels`` is the number of levels of each component that exists.  The
+    policy of a layer is ``inherit`` (all levels there are), ``require`` (it
+    must have more than one) or ``off`` (the first only).
+    """
+    out = []
+    for row in rows:
+        component, policy = str(row.get("component") or "data"), str(row.get("multiscale_policy") or "inherit")
+        if component not in levels:
+            raise DependencyError(f"{component} does not exist")
+        if policy not in ("inherit", "require", "off"):
+            raise ValueError(f"unknown policy {policy}")
+        if policy == "require" and levels[component] < 2:
+            raise DependencyError(f"{component} has one level only")
+        shown = 1 if policy == "off" else levels[component]
+        out.append({**row, "component": component, "multiscale_policy": policy, "levels": list(range(shown))})
+    return out
+
+
 def dependency_issues(workflow: Workflow, available: set[str]) -> list[tuple[str, str, str]]:
     """(operation, reference, reason) of every input that cannot be met."""
     issues, produced = [], {}
