@@ -70,7 +70,7 @@ SELECT t, c, z, y, x::INT AS x, least(65535, greatest(0, round_even(CASE WHEN su
 FROM w GROUP BY t, c, z, y, x"""
 
 
-PAIRS = """pr AS (SELECT a.c, a.v AS fixed, b.v AS moving FROM v a JOIN v b USING (t, c, z, y, x) WHERE a.p = 0 AND b.p = 1)"""
+PAIRS = """pr AS (SELECT a.c, a.v AS fixed, b.v AS moving FROM v a JOIN v b USING (t, c, z, y, x) WHERE b.p = a.p + 1)"""
 
 ORACLES = {
     "mip_xy": f"WITH {VOX} SELECT t, p, c, y, x, max(v) AS v FROM v GROUP BY ALL",
@@ -83,7 +83,7 @@ UNION ALL SELECT 'xz', t, p, c, z, x, max(v) FROM v GROUP BY ALL UNION ALL SELEC
 g AS (SELECT m, m * 9.0::DOUBLE / 18.0 AS pos FROM range(0, 19) r(m))
 SELECT a.t, a.p, a.c, g.m::INT AS z, a.x, round_even(least(65535.0, greatest(0.0, a.v * (1 - (pos - floor(pos))) + b.v * (pos - floor(pos)))), 0)::INT AS v
 FROM g JOIN f a ON a.z = floor(pos)::INT JOIN f b ON b.t = a.t AND b.p = a.p AND b.c = a.c AND b.x = a.x AND b.z = least(floor(pos)::INT + 1, 9)""",
-    "canonical_projection": f"WITH {VOX} SELECT 0 AS t, 0 AS p, 0 AS c, z, y, x, v FROM v WHERE t = 0 AND p = 0 AND c = 0",
+    "canonical_projection": f"WITH {VOX} SELECT t, p, 0 AS c, z, y, x, v FROM v",
     "pyramid_l1": f"WITH {VOX} {_level(2)}",
     "pyramid_l2": f"WITH {VOX} {_level(4)}",
     "pyramid_chain_equals_direct": f"WITH {VOX} SELECT c, count(*) AS n, 0::BIGINT AS different FROM ({_level(4)}) GROUP BY c",
@@ -138,7 +138,7 @@ SELECT c, ok, round(g::DOUBLE, 6) AS gain, round(CASE WHEN ok THEN mf - g * mm E
 quantile_cont(moving, 0.05) AS m0, quantile_cont(moving, 0.5) AS m1, quantile_cont(moving, 0.95) AS m2 FROM pr WHERE fixed > 0 AND moving > 0 GROUP BY c),
 g AS (SELECT *, CASE WHEN n >= 1024 AND m2 > m0 THEN least(10.0, greatest(0.1, (f2 - f0) / (m2 - m0))) ELSE 1.0 END AS gain FROM q)
 SELECT c, round(gain::DOUBLE, 6) AS gain, round(CASE WHEN n >= 1024 AND m2 > m0 THEN least(5 * (f2 - f0), greatest(-5 * (f2 - f0), f1 - gain * m1)) ELSE 0.0 END::DOUBLE, 6) + 0.0 AS "offset", n FROM g""",
-    "intensity_compare_ks": f"""WITH {VOX}, k AS (SELECT c, v, count(*) FILTER (WHERE p = 0) AS a, count(*) FILTER (WHERE p = 1) AS b FROM v WHERE p < 2 GROUP BY c, v),
+    "intensity_compare_ks": f"""WITH {VOX}, k AS (SELECT c, v, count(*) FILTER (WHERE p % 2 = 0) AS a, count(*) FILTER (WHERE p % 2 = 1) AS b FROM v GROUP BY c, v),
 s AS (SELECT c, v, abs((sum(a) OVER r)::DOUBLE / (sum(a) OVER w) - (sum(b) OVER r)::DOUBLE / (sum(b) OVER w)) AS d, a::DOUBLE / (sum(a) OVER w) AS pa, b::DOUBLE / (sum(b) OVER w) AS pb,
   min(v) OVER w AS lo, (max(v) OVER w - min(v) OVER w) / 256.0::DOUBLE AS width FROM k WINDOW w AS (PARTITION BY c), r AS (PARTITION BY c ORDER BY v)),
 cells AS (SELECT c, least(255, floor((v - lo) / width))::INT AS bin, width, sum(pa - pb) AS g FROM s GROUP BY ALL),
@@ -212,6 +212,23 @@ SELECT store, run_index, bad_self, bad_prev FROM k WHERE bad_self OR bad_prev"""
     "audit_latest_reference": "SELECT o_orderpriority AS operation, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS component FROM orders GROUP BY 1",
     "dependency_antijoin": "SELECT l_orderkey AS component, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
     "audit_redact": """SELECT event_id, '{"a":[{"Password":"[REDACTED]"}],"props":{"k":' || (props::JSON ->> 'k') || '},"token":"[REDACTED]"}' AS payload FROM events""",
+    "phase_correlation": f"WITH {VOX} SELECT DISTINCT ((t * 5 + p) * 2 + c)::BIGINT AS edge, 0.0::DOUBLE AS dz, -2.0::DOUBLE AS dy, 3.0::DOUBLE AS dx FROM v",
+    "solve_translation": f"""WITH {VOX}, k AS (SELECT DISTINCT ((t * 5 + p) * 2 + c)::BIGINT AS volume FROM v)
+SELECT volume, i::INT AS copy, i::DOUBLE AS x, 0.0::DOUBLE - i AS y, 0.0::DOUBLE AS z FROM k, range(0, 3) r(i)""",
+    "setting_functions": """SELECT p_partkey, round(p_size + (p_partkey - p_size) * 0.25, 6)::DOUBLE AS v0, round(p_partkey + (0 - p_partkey) * 0.25, 6)::DOUBLE AS v1,
+CASE WHEN p_partkey % 2 = 0 THEN 7 WHEN p_partkey % 4 < 3 THEN (p_partkey % 4 + 1)::INT ELSE -1 END AS channel,
+CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 ELSE 1 END::DOUBLE AS value, CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS source,
+least(32767, greatest(0, round_even(p_size * 1000 - 10000.5::DOUBLE, 0)))::BIGINT AS cast,
+round(CASE WHEN p_partkey % 2 = 0 THEN p_size / 100.0::DOUBLE WHEN p_partkey % 5 = 0 THEN (p_size + 1) / 50.0::DOUBLE ELSE 6.5::DOUBLE / p_size * 2 END, 6) AS pixel FROM part""",
+    "array_tiles": """SELECT z::INT AS z_start, least(z + 4, 10)::INT AS z_stop, y::INT AS y_start, least(y + 3, 8)::INT AS y_stop, x::INT AS x_start, least(x + 5, 8)::INT AS x_stop
+FROM range(0, 10, 4) a(z), range(0, 8, 3) b(y), range(0, 8, 5) d(x)""",
+    "registration_grid": """WITH n AS (SELECT unnest(range(10, 60))::INT AS size), s AS (SELECT size, unnest(range(0, size - 7, 6))::INT AS start FROM n
+UNION SELECT size, size - 8 FROM n) SELECT size, (row_number() OVER (PARTITION BY size ORDER BY start) - 1)::INT AS chunk, start FROM s""",
+    "extended_levels": "SELECT i::INT AS level, 1 AS t, 1 AS p, 1 AS c, (CASE WHEN i = 0 THEN 1 ELSE 2 ** (i - 1) END)::INT AS z, (2 ** i)::INT AS y, (2 ** i)::INT AS x FROM range(0, 6) r(i)",
+    "pairwise_budget": """SELECT p_partkey, CASE WHEN p_size::DOUBLE ** 3 * 6000 <= 500000 THEN 1 ELSE ceil(cbrt(p_size::DOUBLE ** 3 * 6000 / 500000) - 1e-9) END::INT AS factor FROM part""",
+    "detection_by_intensity": f"WITH {DET} SELECT *, (row_number() OVER (PARTITION BY t, p ORDER BY intensity DESC, z, y, x, c, sigma))::INT AS place FROM det",
+    "event_log_manifest": "SELECT count(*)::BIGINT AS event_count, sum(strlen(props))::BIGINT AS bytes FROM events WHERE event_id % 10 <> 0",
+    "residual_of_edges": "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity ** 2 + l_discount ** 2 + l_tax ** 2) / (2.0::DOUBLE / 3), 6) AS residual FROM lineitem",
     "chunk_mip_xy": f"WITH {VOX} SELECT t, p, c, y, x, max(v) AS v FROM v GROUP BY ALL",
     "chunk_mip_xz": f"WITH {VOX} SELECT t, p, c, z, x, max(v) AS v FROM v GROUP BY ALL",
     "chunk_mip_yz": f"WITH {VOX} SELECT t, p, c, z, y, max(v) AS v FROM v GROUP BY ALL",

@@ -118,7 +118,7 @@ def mip_resample_z(spark, sf_dir):
 def canonical_projection(spark, sf_dir):
     from voxelloom.sources.voxels import canonical
 
-    return canonical(embedding_voxels(spark, sf_dir).where("t = 0 AND p = 0 AND c = 0").select("z", "y", "x", "v"), ["z", "y", "x"])
+    return canonical(embedding_voxels(spark, sf_dir).drop("c"), ["t", "p", "z", "y", "x"])
 
 
 # levels, grids, regions
@@ -269,10 +269,11 @@ def contrast_limits(spark, sf_dir):
 
 
 def _tile_pairs(spark, sf_dir):
+    """Every tile against the next one."""
     v = embedding_voxels(spark, sf_dir)
-    keys = ["t", "c", "z", "y", "x"]
-    fixed = v.where("p = 0").select(*keys, F.col("v").alias("fixed"))
-    return fixed.join(v.where("p = 1").select(*keys, F.col("v").alias("moving")), keys)
+    keys = ["t", "p", "c", "z", "y", "x"]
+    moving = v.select("t", (F.col("p") - 1).alias("p"), "c", "z", "y", "x", F.col("v").alias("moving"))
+    return v.select(*keys, F.col("v").alias("fixed")).join(moving, keys)
 
 
 @query
@@ -289,8 +290,9 @@ def intensity_percentile_gain(spark, sf_dir):
 
 @query
 def intensity_compare_ks(spark, sf_dir):
-    v = embedding_voxels(spark, sf_dir).where("p < 2")
-    found = statistics.compare_distributions(v.select("c", "v", F.col("p").alias("side")), ["c"])
+    """Tiles of even against tiles of odd number."""
+    v = embedding_voxels(spark, sf_dir)
+    found = statistics.compare_distributions(v.select("c", "v", (F.col("p") % 2).alias("side")), ["c"])
     return found.select("c", r6("ks_d"), r6("wasserstein"))
 
 
@@ -519,23 +521,48 @@ def particle_detect(spark, sf_dir):
 # registration
 
 
+def _moved(v, dy: int, dx: int):
+    """The volumes shifted on a ring."""
+    return v.withColumns({"y": F.pmod(F.col("y") + dy, F.lit(8)), "x": F.pmod(F.col("x") + dx, F.lit(8))})
+
+
 @query
 def phase_correlation(spark, sf_dir):
-    v = embedding_voxels(spark, sf_dir).where("c = 0")
-    fixed = v.select("t", "p", "z", "y", "x", F.col("v").alias("fixed"))
-    moving = v.select("t", "p", "z", ((F.col("y") + 2) % 8).alias("y"), ((F.col("x") + 5) % 8).alias("x"), F.col("v").alias("moving"))
-    pairs = fixed.join(moving, ["t", "p", "z", "y", "x"]).withColumn("edge", (F.col("t") * 5 + F.col("p")).cast("long"))
+    """Every volume against itself, moved by 2 rows and 5 columns on a ring."""
+    v = embedding_voxels(spark, sf_dir)
+    keys = ["t", "p", "c", "z", "y", "x"]
+    pairs = v.withColumnRenamed("v", "fixed").join(_moved(v, 2, 5).withColumnRenamed("v", "moving"), keys)
+    pairs = pairs.withColumn("edge", ((F.col("t") * 5 + F.col("p")) * 2 + F.col("c")).cast("long"))
     return registration.pairwise_shifts(pairs.select("edge", "z", "y", "x", "fixed", "moving"), 1)
 
 
 @query
 def solve_translation(spark, sf_dir):
-    """Tile positions from measured shifts, the worst edge pruned."""
-    rows = _edges(spark, sf_dir).orderBy("fixed", "moving").collect()  # one row per tile pair
-    edges = [{"fixed": r["fixed"], "moving": r["moving"], "overlap_voxels": r["overlap_voxels"], "shift": [1.0 if i else 20.0, 0.0, 0.0]} for i, r in enumerate(rows)]
-    positions = sorted({p for e in edges for p in (e["fixed"], e["moving"])})
-    solution, _, _ = registration.solve_with_pruning(positions, edges, positions[0])
-    return spark.createDataFrame([(p, *[float(x) for x in v]) for p, v in solution.items()], "p int, x double, y double, z double")
+    """Positions of three moved copies of every volume, from shifts measured on their pixels."""
+    v = embedding_voxels(spark, sf_dir)
+    copies = [_moved(v, k, -k).withColumn("copy", F.lit(k)) for k in range(3)]
+    keys = ["t", "p", "c", "z", "y", "x"]
+    pairs = None
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        both = copies[a].select(*keys, F.col("v").alias("fixed")).join(copies[b].select(*keys, F.col("v").alias("moving")), keys)
+        both = both.withColumn("edge", (((F.col("t") * 5 + F.col("p")) * 2 + F.col("c")) * 9 + a * 3 + b).cast("long"))
+        pairs = both if pairs is None else pairs.unionByName(both)
+    shifts = registration.pairwise_shifts(pairs.select("edge", "z", "y", "x", "fixed", "moving"), 1)
+    shifts = shifts.withColumn("volume", F.floor(F.col("edge") / 9).cast("long"))
+
+    def solve(pdf):
+        import numpy as np
+        import pandas as pd
+
+        edges = [
+            {"fixed": int(e) % 9 // 3, "moving": int(e) % 3, "shift": np.array([dx, dy, dz]), "overlap_voxels": 640}
+            for e, dz, dy, dx in zip(pdf["edge"], pdf["dz"], pdf["dy"], pdf["dx"], strict=True)
+        ]
+        found, _, _ = registration.solve_with_pruning([0, 1, 2], sorted(edges, key=lambda e: (e["fixed"], e["moving"])), 0)
+        rows = [(int(pdf["volume"].iloc[0]), k, *[round(float(x), 6) + 0.0 for x in at]) for k, at in found.items()]
+        return pd.DataFrame(rows, columns=["volume", "copy", "x", "y", "z"])
+
+    return shifts.groupBy("volume").applyInPandas(solve, "volume long, copy int, x double, y double, z double")
 
 
 @query
@@ -625,6 +652,75 @@ def dependency_antijoin(spark, sf_dir):
     return refs.join(have, "component", "left_anti")
 
 
+# settings and small tables
+
+
+@query
+def setting_functions(spark, sf_dir):
+    """Vector interpolation, channel lists, first values present, casts and pixel sizes."""
+    p = table(spark, sf_dir, "part").withColumn("s", F.col("p_size").cast("double"))
+    key, size = F.col("p_partkey"), F.col("s")
+    vector = V.interpolate_vector(F.array(size, key.cast("double")), F.array(key.cast("double"), F.lit(0.0)), F.lit(0.25))
+    value, source = V.first_present(("a", F.when(key % 3 == 0, size)), ("b", F.when(key % 3 == 1, size + 1)), ("c", F.lit(1.0)))
+    pixel = V.pixel_size_um(F.when(key % 2 == 0, size), F.lit(100.0), F.when(key % 5 == 0, size + 1), F.lit(50.0), F.lit(6.5), size, F.lit(2.0))
+    return p.select(
+        "p_partkey", F.round(vector[0], 6).alias("v0"), F.round(vector[1], 6).alias("v1"),
+        F.coalesce(V.broadcast_channel(F.when(key % 2 == 0, F.array(F.lit(7))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3))), (key % 4).cast("int")), F.lit(-1)).alias("channel"),
+        value.alias("value"), source.alias("source"), V.clip_to_dtype(size * 1000 - 10000.5, 0, 32767).alias("cast"), F.round(pixel, 6).alias("pixel"),
+    )
+
+
+@query
+def array_tiles(spark, sf_dir):
+    """The tiles of a volume as large as the voxels."""
+    n = embedding_voxels(spark, sf_dir).agg(*[(F.max(a) + 1).alias(a) for a in "zyx"]).first()
+    return grids.tile_table(spark, {a: n[a] for a in "zyx"}, {"z": 4, "y": 3, "x": 5})
+
+
+@query
+def registration_grid(spark, sf_dir):
+    """Chunks of widths 10 to 59 with their last start at the end."""
+    rows = [(n, i, s) for n in range(10, 60) for i, s in enumerate(grids.chunk_starts(n, 8, 2))]
+    return spark.createDataFrame(rows, "size int, chunk int, start int")
+
+
+@query
+def extended_levels(spark, sf_dir):
+    rows = [(i, *f) for i, f in enumerate(grids.extend_factors([(1, 1, 1, 1, 1, 1), (1, 1, 1, 1, 2, 2)], 5))]
+    return spark.createDataFrame(rows, "level int, t int, p int, c int, z int, y int, x int")
+
+
+@query
+def pairwise_budget(spark, sf_dir):
+    """Whole factors that bring grids of the parts' sizes below a budget."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size").collect()  # one small table, a plain function
+    rows = [(r["p_partkey"], grids.downsample_factor((r["p_size"] * 10, r["p_size"] * 20, r["p_size"] * 30), 500_000)) for r in p]
+    return spark.createDataFrame(rows, "p_partkey long, factor int")
+
+
+@query
+def detection_by_intensity(spark, sf_dir):
+    """Place of every detection, the brightest first, within its time and position."""
+    rows = _detections(spark, sf_dir)
+    order = Window.partitionBy("t", "p").orderBy(F.desc("intensity"), "z", "y", "x", "c", "sigma")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+@query
+def event_log_manifest(spark, sf_dir):
+    """Events and bytes of a log with blank lines."""
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 0, "  ").otherwise(F.col("props")).alias("value"))
+    return ledger.manifest(e).select("event_count", "bytes")
+
+
+@query
+def residual_of_edges(spark, sf_dir):
+    """How far predicted shifts lie from measured ones, in mean voxels."""
+    l = table(spark, sf_dir, "lineitem")
+    gap = F.sqrt(sum((F.col(c).cast("double") ** 2 for c in ("l_quantity", "l_discount", "l_tax")), F.lit(0.0)))
+    return l.select("l_orderkey", "l_linenumber", F.round(gap / ((0.5 + 0.5 + 1.0) / 3), 6).alias("residual"))
+
+
 # chunk forms, tiles and tables
 
 
