@@ -324,3 +324,62 @@ def test_run_ledger(spark, tmp_path):
     sinks.put(f"file://{path}", json.dumps(record).encode())
     assert book.verify() == (False, ["run 2: self_hash mismatch"])
     assert run_ledger.text_log_events_path("/a/run.log") == "/a/run.events.jsonl"
+
+
+def test_tubes():
+    from voxelloom.operators import tubes
+
+    rng = np.random.default_rng(5)
+    volume = 0.05 * rng.normal(size=(20, 20, 20))
+    volume[:, 9:11, 9:11] += 1.0
+    mask, response = tubes.segment(volume, (1, 2), least=20, distance=2)
+    assert mask[10, 9:11, 9:11].all() and mask.sum() < 0.1 * mask.size and response.max() <= 1.0
+    assert not mask[:, :4, :4].any()
+    ring = np.zeros((5, 5, 5), bool)
+    ring[1:4, 1:4, 1:4] = True
+    ring[2, 2, 2] = False
+    assert tubes.fill_holes(ring).sum() == 27
+    two = np.zeros((4, 4, 4), bool)
+    two[0, 0, :3], two[3, 3, 3] = True, True
+    parts = tubes.labels_of(two)
+    assert parts.max() == 2 and (parts[0, 0, :3] == parts[0, 0, 0]).all()
+    assert tubes.drop_small(two, 2).sum() == 3
+    gap = np.zeros((7, 7, 7), bool)
+    gap[2:5, 2:5, 1:3], gap[2:5, 2:5, 4:6] = True, True
+    assert tubes.close_gaps(gap, 1)[3, 3, 3]
+    flat = np.full((6, 6, 6), 2.0)
+    assert np.allclose(tubes.nonlocal_means(flat, 0.1, distance=1), 2.0) and tubes.noise_of(flat) == 0
+    assert abs(tubes.noise_of(rng.normal(0, 0.3, (40, 40, 40))) - 0.3) < 0.03
+
+
+def test_tile_rows_are_registered(spark):
+    from voxelloom.operators import stitching
+
+    rng = np.random.default_rng(6)
+    scene = rng.integers(100, 4000, (48, 140)).astype(float)
+    moves = {0: (1, -2), 1: (0, 0), 2: (-1, 1)}
+    layout = stitching.canvas((32, 48), 3, 0.5, 0.25)
+    rows = []
+    for p, (dy, dx) in moves.items():
+        tile = scene[8 + dy : 40 + dy, 16 + layout.step * p + dx : 64 + layout.step * p + dx]
+        rows += [(0, p, 0, y, x, int(tile[y, x])) for y, x in np.ndindex(tile.shape)]
+    pixels = spark.createDataFrame(rows, "t int, p int, c int, y int, x int, v int")
+    got = {r["p"]: (round(r["dy"]), round(r["dx"])) for r in stitching.register_positions(pixels, layout, (32, 48), 3).collect()}
+    assert got == moves
+    made = stitching.process(pixels, (32, 48), 3, 0.5, 0.25, 0)
+    assert all(abs(r["v"] - scene[8 + r["y"] - layout.margin, 16 + r["x"] - layout.margin]) <= 1 for r in made.collect())
+
+
+def test_tracks_and_stage_repair(spark, tmp_path):
+    from voxelloom.operators import detection
+    from voxelloom.sources import stores
+
+    (tmp_path / "t.csv").write_text("track_id,t,z,y,x,quality\n1,0,1.5,2,3,x\n1,1,0,-0.5,-0.5,1\n2,0.0,1,2,3,4\n")
+    rows = detection.read_tracks(spark, f"file://{tmp_path}/t.csv").orderBy("track_id").collect()
+    assert [(r["track_id"], r["t"], r["z"], r["quality"]) for r in rows] == [(1, 0, 1.5, None), (2, 0, 1.0, 4.0)]
+    assert "z" not in detection.read_tracks(spark, f"file://{tmp_path}/t.csv", planar=True).columns
+    store = stores.Store(spark, f"file://{tmp_path}/s")
+    with pytest.raises(ValueError):
+        stores.repair_stage(store, [{"x": 1}], {0: (0, 0, 0)}, 2)
+    assert stores.repair_stage(store, [{"x": 1}, {"x": 2}], {0: (0, 0, 0), 1: (1, 2, 3)}, 2)["positions"] == 2
+    assert store.metadata("stage")["position_translations_zyx_um"][1] == [1.0, 2.0, 3.0]

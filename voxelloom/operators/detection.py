@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.operators import kernels, regions
@@ -84,6 +84,19 @@ def by_intensity(points: DataFrame) -> DataFrame:
     return points.orderBy(F.desc("intensity"), *SORT, "c")
 
 
+def read_tracks(spark: SparkSession, path: str, planar: bool = False) -> DataFrame:
+    """Tracks of CSV files with a header (track_id, t, z, y, x and more), dummies left out.
+
+    Numbers are doubles; t and the track's id are whole.
+    """
+    rows = spark.read.option("header", "true").csv(path)
+    names = {c: c.strip().lower() for c in rows.columns}
+    rows = rows.withColumnsRenamed(names)
+    whole = {c: F.col(c).try_cast("double").cast("long") for c in ("track_id", "t") if c in rows.columns}
+    numbers = {c: F.col(c).try_cast("double") for c in rows.columns if c not in whole}
+    return real_tracks(rows.withColumns(whole | numbers), planar=planar)
+
+
 def real_tracks(tracks: DataFrame, tolerance: float = 1e-6, planar: bool = False) -> DataFrame:
     """Tracks without the placeholder rows at x = y = -0.5."""
     dummy = (F.abs(F.col("x") + 0.5) < tolerance) & (F.abs(F.col("y") + 0.5) < tolerance)

@@ -73,6 +73,19 @@ class Store:
         return json.loads(rows[0]["value"])
 
 
+def repair_stage(store: Store, rows: list[dict], translations: dict[int, tuple], positions: int) -> dict:
+    """Writes stage rows and translations that a store lacks; pixels stay as they are.
+
+    ``rows`` are stage rows by position, ``translations`` their z, y, x in
+    micrometres; there must be one for each of the store's positions.
+    """
+    if len(rows) < positions:
+        raise ValueError(f"{len(rows)} stage rows for {positions} positions")
+    value = {"stage_rows": rows[:positions], "position_translations_zyx_um": [list(map(float, translations[p])) for p in range(positions)]}
+    store.put_metadata("stage", value)
+    return {"positions": positions, "stage_rows": len(rows)}
+
+
 def export_volumes(chunks: DataFrame, dtype: str = "uint16") -> DataFrame:
     """One TIFF file's bytes for each (t, p, c): (t, p, c, name, content)."""
     import numpy as np
