@@ -113,18 +113,27 @@ def find_hits(
     in_windows = ranked.withColumn("start", F.explode(starts))
     rule = Window.partitionBy("item", "start").orderBy("seen", "h", "p")
     all_present = F.count(F.lit(1)).over(Window.partitionBy("item", "start")) == F.col("win") - F.col("width") + 1
+    # of windows with the same words one is enough: it is found wherever they stand
+    one_of = items.select("item", "item_words", "win", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("win"))).alias("start"))
+    one_of = one_of.groupBy("item", F.slice("item_words", F.col("start") + 1, F.col("win")).alias("own")).agg(F.min("start").alias("start"))
     prefix = (
         in_windows.withColumn("whole", all_present).withColumn("at", F.row_number().over(rule))
         .where("at = 1 AND whole").select("h", "item", "p", "start", "win").distinct()
+        .join(one_of.select("item", "start"), ["item", "start"], "left_semi")
     )
     prefix = common.durable(prefix, "bench-prefix")
     aligned = (
         places.join(_bounded(prefix, prefix.count()), "h")
         .withColumn("shift", F.col("j") - F.col("p"))
         .where("shift + start >= 0 AND shift + start + win <= n")
-        .select("doc_id", "text_key", "item", "shift").distinct()
+        .select("doc_id", "text_key", "item", "shift", "start", "win").distinct()
     )
-    aligned = common.durable(aligned, "bench-aligned")
+    # neighbouring windows of one alignment as one range of the item's words
+    along = Window.partitionBy("doc_id", "text_key", "item", "shift").orderBy("start")
+    apart = F.coalesce((F.col("start") > F.lag("start").over(along) + F.col("win")).cast("int"), F.lit(1))
+    ranges = aligned.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along))
+    ranges = ranges.groupBy("doc_id", "text_key", "item", "shift", "island").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("win")).alias("stop"))
+    aligned = common.durable(ranges.drop("island"), "bench-aligned")
 
     # verify word by word in the documents concerned
     wanted = aligned.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).distinct()
@@ -134,7 +143,8 @@ def find_hits(
         F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), F.posexplode(words_of(F.col("text"))).alias("position", "word")
     )
     parts_of = items.select("item", "item_id", "win", F.posexplode("item_words").alias("p", "expected"))
-    asked = aligned.join(_bounded(parts_of, shingles.count()), "item").withColumn("at", F.col("shift") + F.col("p"))
+    asked = aligned.select("doc_id", "text_key", "item", "shift", F.explode(F.sequence(F.col("first"), F.col("stop") - 1)).alias("p"))
+    asked = asked.join(_bounded(parts_of, shingles.count()), ["item", "p"]).withColumn("at", F.col("shift") + F.col("p"))
     found = (
         asked["doc_id"].eqNullSafe(placed["t_id"]) & (asked["text_key"] == placed["t_key"])
         & (asked["at"] == placed["position"]) & (asked["expected"] == placed["word"])
