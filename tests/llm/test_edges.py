@@ -111,6 +111,39 @@ def test_quality(odd, none, labels):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_columns_of_other_types_with_clashing_names(spark, odd, labels):
+    """Names the operators use inside, as arrays, structs and texts."""
+    kinds = [F.array(F.lit(1)), F.struct(F.lit(1).alias("a")), F.lit("x"), F.lit(2.5)]
+    names = ["label", "node", "regs", "first", "hot", "key", "start", "shift", "uid", "h", "n", "size", "bucket", "_text"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[kinds[i % 4].alias(c) for i, c in enumerate(names)])
+    docs = docs.where("doc_id < 110 OR doc_id > 205 OR doc_id IS NULL")
+    n = docs.count()
+    assert neardup.near_duplicates(docs).count() == lm.score_texts(docs).count() == sharding.assign_shards(docs).count() == n
+    assert quality.score_quality(docs, labels).count() == mixing.plan_mix(docs).count() == langid.identify_languages(docs).count() == n
+    kept = neardup.remove_near_duplicates(docs.drop("first"))
+    assert kept.columns == docs.drop("first").columns and 0 < kept.count() < n
+
+
+def test_quality_stage_on_odd_and_empty_tables(spark, sf, odd, none):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.quality_stage(spark, odd, sf)
+    assert kept.columns == odd.columns and kept.count() <= odd.count()
+    assert corpus_pipeline.quality_stage(spark, none, sf).count() == 0
+
+
+def test_sharding_of_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.assign_shards(docs).collect()}
+    assert rows == {1: (16, None), 2: (16, 0), 3: (17, 3904355907)}
+
+
+def test_language_ties(spark):
+    text = "one and the same words in every tongue that there is"
+    docs = spark.createDataFrame([(i, text, lang) for i in range(40) for lang in ("bb", "aa")], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], r["rejected"]) for r in langid.identify_languages(docs).collect()} == {("aa", True)}
+
+
 def test_toxicity(odd, none, labels):
     rows = toxicity.score_toxicity(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)

@@ -9,7 +9,8 @@ marked as rejected.
 Defined results
     * null text or text without a letter: ``und``, score 0, rejected.
     * no language to learn from: ``und`` for all rows.
-    * equal sizes: the language that sorts first, rejected.
+    * equal sizes (also of languages with equal texts): the language that
+      sorts first, rejected.
     * repeated rows are scored alike; other columns never matter.
 """
 

@@ -45,6 +45,9 @@ def source_targets(
 ) -> DataFrame:
     """Targets of (skey, source, source_size): weighted shares below the caps.
 
+    One row for each source is ordered in one task, as the contract's turns of
+    weights need; sources are meant to be named parts of a corpus, not hosts.
+
     Sources in the order of cap / weight are filled up to their caps until the
     common level fits; that is where repeated resharing ends.
     """

@@ -10,7 +10,8 @@ one by one (fewer than 64 x shards of them can exist), all smaller groups in
 parcels of whole groups, whose number is fixed.
 
 Defined results
-    * null text: no bytes, and a group of its own; empty text: a group.
+    * null text: no bytes, no checksum (null), and a group of its own; empty
+      text: a group with the checksum 0.
     * a group larger than a mean shard keeps a shard to itself.
     * empty table: no rows.  Repeated rows are separate documents.
     * ties are ordered by hash, id and checksum.
