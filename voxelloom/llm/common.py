@@ -72,14 +72,20 @@ def written() -> int:
     return len(_written)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder, removed with the durable tables."""
+    path = f"{shared_dir(spark)}/voxelloom/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
+    return path
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The table is removed when the driver's process ends in the usual way.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelloom/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext, path))
+    path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

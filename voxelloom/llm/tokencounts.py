@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -120,11 +119,15 @@ def delta(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Committed deltas below one folder of a shared file system."""
+    """Committed deltas below one folder of a shared file system.
+
+    With ``root`` a later driver finds what was committed; without it the
+    folder is one of the session's own and goes with the other durable tables.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = (root or f"{common.shared_dir(spark)}/voxelloom/rollup-{uuid.uuid4().hex}").rstrip("/")
+        self.root = (root or common.scratch(spark, "rollup")).rstrip("/")
 
     def _path(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -164,9 +167,9 @@ class Rollup:
         return sums.where("docs <> 0 OR tokens <> 0")
 
 
-def rollup_documents(docs: DataFrame, batch_id: str = "documents-1", directory: str = TOKENIZER_DIR) -> DataFrame:
+def rollup_documents(docs: DataFrame, batch_id: str = "documents-1", directory: str = TOKENIZER_DIR, root: str | None = None) -> DataFrame:
     """Totals after committing the documents as one batch, and its replay."""
-    store = Rollup(docs.sparkSession)
+    store = Rollup(docs.sparkSession, root)
     counted = long_counts(bpe_counts(docs, directory))
     store.commit(inserts(counted), batch_id)
     store.commit(inserts(counted), batch_id)  # a replay changes nothing
