@@ -340,7 +340,9 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
     met = live.where(~F.col("leads") & _close(percent, F.col("n"), F.col("n_leader")))
     met = _canonical(met.select(F.col("leader").alias("hub"), F.col("node").alias("member")))
     tested = common.durable(_estimated(met, nodes, floor), "dup-met")
-    labels = common.durable(graph.components(_verified(tested, nodes, docs, percent, width)), "dup-labels")
+    # written first, so that no task runs two Python workers at once
+    links = common.durable(_verified(tested, nodes, docs, percent, width), "dup-links")
+    labels = common.durable(graph.components(links), "dup-labels")
     for most in ROUNDS:
         found = common.durable(_canonical(_block_pairs(live, labels, nodes, percent, most)), "dup-found")
         if found.isEmpty():
@@ -348,7 +350,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
         fresh = common.durable(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "dup-fresh")
         if fresh.isEmpty():
             continue
-        links = _verified(fresh, nodes, docs, percent, width)
+        links = common.durable(_verified(fresh, nodes, docs, percent, width), "dup-links")
         known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = common.durable(graph.components(known.unionByName(links)), "dup-labels")
         tested = tested.unionByName(fresh)
