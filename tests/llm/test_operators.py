@@ -13,7 +13,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, graph, langid, lm, mixing, neardup, quality, sharding, textkit, tokencounts, toxicity, vectorsearch
+from voxelloom.llm import common, decontamination, graph, langid, lm, mixing, neardup, quality, sharding, textkit, tokencounts, toxicity, vectorsearch
 from voxelloom.llm.balanced_tree import BalancedTree
 from voxelloom.llm.oracles import ORACLES
 from voxelloom.llm.queries import QUERIES
@@ -183,6 +183,39 @@ def test_block_rounds_find_every_component(spark):
     assert got == dict(enumerate(label))
 
 
+def test_blocks_send_no_more_links_than_nodes(spark, monkeypatch):
+    """Copies of one text that all look similar, most of them just below the threshold."""
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(300):
+        copy = list(base)
+        for i in 3 + 3 * rng.choice(64, 4, replace=False):
+            copy[i] = f"x{k}_{i}"
+        texts.append(" ".join(copy))
+    sets = [set(s.tolist()) for s in neardup.shingle_sets([t.encode() for t in texts], 3)]
+    label, linked = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                linked += 1
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert 0 < linked < 100
+    written, durable = collections.defaultdict(list), common.durable
+
+    def counted(df, tag):
+        out = durable(df, tag)
+        written[tag].append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "durable", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=85, width=3).collect()}
+    assert got == dict(enumerate(label))
+    assert max(written["dup-found"]) < len(texts), dict(written)
+
+
 def test_near_duplicates_of_five_words_and_four_fifths(spark):
     rng = np.random.default_rng(4)
     texts = []

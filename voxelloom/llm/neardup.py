@@ -10,11 +10,12 @@ that are larger, smaller and equal and then confirmed on the full sets.
 Groups are never expanded into all pairs.  Documents of equal sets are one
 node.  In each band bucket every node is compared with one leader, the node
 that collides most.  What that leaves unconnected meets, register against
-register inside bounded blocks, the other nodes of its buckets in three rounds:
-first only a spanning forest of the likeliest links between components leaves a
-block, then the best few links of each node, then all that still lie between
-components.  Each round's links are confirmed on full sets before the next, so
-no link between different components is lost.
+register inside bounded blocks, the other nodes of its buckets.  Only nodes that
+look similar to another one leave a block; they come back to it with their full
+sets, on which the block confirms its pairs itself.  A pair is passed over only
+if confirmed links connect it already, and of the confirmed links a spanning
+forest leaves the block: fewer than it has nodes, and no link between different
+components is lost.
 
 Defined results
     * null text or text without words: empty set, linked with nothing.
@@ -43,10 +44,8 @@ MISS = 5e-6
 BASE, SCALE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: Estimates this many standard deviations below the threshold are dropped.
 DEVIATIONS = 4.26
-#: Nodes of each side that meet in one block.
-BLOCK = 2048
-#: Links that leave a block for each open node, by round; None: all.
-ROUNDS = (1, 16, None)
+#: Nodes of each side that meet in one block, and shingles of their sets (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: Tasks that the members of one hub may be dealt to for the check.
 SALTS = 64
 #: Rows of up to 40 bytes that are broadcast (about 20 MB as a hash table).
@@ -178,10 +177,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, hub binary")
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of every node of ``pairs``."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = common.durable(wanted.join(nodes, "node").select("node", F.col("rep").alias("w_id"), F.col("text_key").alias("w_key")), "dup-wanted")
+def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of every node of ``wanted`` (node)."""
+    wanted = common.durable(wanted.distinct().join(nodes, "node").select("node", F.col("rep").alias("w_id"), F.col("text_key").alias("w_key")), "dup-wanted")
     small = _maybe_broadcast(wanted)
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     texts = source.join(small, source["doc_id"].eqNullSafe(small["w_id"]) & (source["key"] == small["w_key"]))
@@ -194,7 +192,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     The text of a hub goes once to each task that has members of it and is
     followed there by the members' texts.
     """
-    texts = _texts_of(pairs, nodes, docs)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = _texts_of(ends, nodes, docs)
     member = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     dealt = pairs.select("hub", member.alias("member")).withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
     hubs = dealt.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub")
@@ -222,90 +221,127 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _candidates(side: tuple, other: tuple, band: int, banded: tuple[int, int], floor: float, percent: int):
+def _similar(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the ``others`` (sorted sets, none empty) are linked with ``own``."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    shared = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * shared >= percent * (len(own) + sizes - shared)
+
+
+def _sides(group: pa.Table) -> list[dict]:
+    """The two sides of a block, the open nodes first, as arrays."""
+    seeks, codes = group.column("seeks").to_numpy(), {}
+    names = group.column("node").to_pylist()
+    rank = {v: i for i, v in enumerate(sorted(set(names)))}
+    labels = [codes.setdefault(v, len(codes)) for v in group.column("label").to_pylist()]
+    out = []
+    for flag in (True, False):
+        at = np.flatnonzero(seeks == flag)
+        part = group.take(pa.array(at)).combine_chunks()
+        out.append({
+            "at": at, "node": [names[i] for i in at], "rank": np.array([rank[names[i]] for i in at], np.int64),
+            "code": np.array([labels[i] for i in at], np.int64), "n": part.column("n").to_numpy().astype(float),
+            "regs": np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS),
+            "leads": part.column("leads").to_numpy().astype(bool), "open": part.column("open").to_numpy().astype(bool),
+            "set": part.column("set").to_pylist() if "set" in part.column_names else None,
+        })
+    return out
+
+
+def _candidates(side: dict, other: dict, band: int, banded: tuple[int, int], floor: float, percent: int):
     """For each open node its (places in ``other``, estimates) above ``floor``.
 
     Only nodes of another label count that do not lead the bucket, which every
-    node has met, and whose first common band this bucket is.
+    node has met, and whose first common band this bucket is.  Two open nodes
+    meet in one of their two blocks, from the smaller one.
     """
-    _, codes, n, regs, _ = side
-    _, codes_y, n_y, regs_y, leads = other
     n_bands, n_rows = banded
-    for i in range(len(codes)):
-        at = np.flatnonzero((codes_y != codes[i]) & ~leads & (np.minimum(n_y, n[i]) * 100 >= np.maximum(n_y, n[i]) * percent))
+    for i, (code, rank, n) in enumerate(zip(side["code"], side["rank"], side["n"], strict=True)):
+        apart = (other["code"] != code) & ~other["leads"] & (~other["open"] | (other["rank"] > rank))
+        at = np.flatnonzero(apart & (np.minimum(other["n"], n) * 100 >= np.maximum(other["n"], n) * percent))
         if len(at):
-            agree = regs_y[at] == regs[i]
+            agree = other["regs"][at] == side["regs"][i]
             rough = agree.mean(1) >= floor - 0.05
             at, agree = at[rough], agree[rough]
         if len(at):
             bands = agree[:, : n_bands * n_rows].reshape(len(at), n_bands, n_rows).all(2)
             at = at[bands.argmax(1) == band]
         if len(at):
-            close = estimate(np.repeat(regs[i : i + 1], len(at), 0), regs_y[at], np.full(len(at), n[i]), n_y[at])
+            close = estimate(np.repeat(side["regs"][i : i + 1], len(at), 0), other["regs"][at], np.full(len(at), n), other["n"][at])
             good = close >= floor
             if good.any():
                 yield i, at[good], close[good]
 
 
-def _chosen(found, codes: np.ndarray, codes_y: np.ndarray, most: int | None):
-    """(i, j) of the links that leave a block in the round of ``most``."""
-    if most != 1:
-        for i, at, close in found:
-            yield from ((i, j) for j in at[np.argsort(-close, kind="stable")[:most]])
-        return
-    best: dict[tuple, tuple] = {}
-    for i, at, close in found:
-        for k in np.argsort(close, kind="stable"):
-            key = tuple(sorted((codes[i], codes_y[at[k]])))
-            if key not in best or best[key][0] < close[k]:
-                best[key] = (close[k], i, at[k])
+def _confirmed(found, side: dict, other: dict, percent: int):
+    """(i, j) of the links that full sets confirm, without those that close a circle."""
+    sets, sets_y = ([np.frombuffer(b, np.uint64) for b in s["set"]] for s in (side, other))
+    codes, codes_y = side["code"].tolist(), other["code"].tolist()
     forest = graph.Forest()
-    for (x, y), (_, i, j) in sorted(best.items(), key=lambda item: -item[1][0]):
-        if forest.join(x, y):
-            yield i, j
+    for i, at, close in found:
+        at, size = at[np.argsort(-close, kind="stable")].tolist(), 1
+        while at:
+            own = forest.root(codes[i])
+            at = [j for j in at if forest.root(codes_y[j]) != own]
+            some, at, size = at[:size], at[size:], size * 4
+            if some:
+                linked = _similar(sets[i], [sets_y[j] for j in some], percent)
+                yield from ((i, j) for j, good in zip(some, linked, strict=True) if good and forest.join(codes[i], codes_y[j]))
 
 
-def _block_pairs(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs (hub, member) of different components that share a bucket and look similar.
+def _block_links(live: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Confirmed links (a, b) that connect all similar nodes that share a bucket.
 
     In each bucket of several components the nodes outside the leader's are
-    the open side; it meets all nodes of the bucket in blocks of at most BLOCK
-    x BLOCK.  ``most`` is the round's number of links for each open node.
+    the open side; it meets all nodes of the bucket in blocks of about BLOCK
+    nodes and BLOCK_SHINGLES shingles a side.
     """
     banded, floor = banding(percent), floor_of(percent)
     known = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rule = known.groupBy("bkey").agg(
-        F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size"),
+        F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"),
         F.max(F.when(F.col("leads"), F.col("label"))).alias("main"),
     ).where("l0 <> l1 AND size > 2")  # two nodes have met already
-    rule = _maybe_broadcast(common.durable(rule.select("bkey", "size", "main"), "dup-open"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = known.join(rule, "bkey").join(nodes.select("node", "regs"), "node").withColumn("blocks", blocks).withColumn("own", own)
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("volume") / F.lit(BLOCK_SHINGLES))).cast("int")
+    rule = _maybe_broadcast(common.durable(rule.select("bkey", blocks.alias("blocks"), "main"), "dup-open"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = known.join(rule, "bkey").join(nodes.select("node", "regs"), "node").withColumn("own", own)
+    rows = rows.withColumn("open", F.col("label") != F.col("main"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["bkey", "band", "node", "label", "n", "leads", "regs"]
-    seekers = rows.where("label <> main").select(*columns, F.lit(True).alias("seeks"), F.col("own").alias("x"), F.explode(every).alias("y"))
+    columns = ["bkey", "band", "node", "label", "n", "leads", "open", "regs"]
+    seekers = rows.where("open").select(*columns, F.lit(True).alias("seeks"), F.col("own").alias("x"), F.explode(every).alias("y"))
     others = rows.select(*columns, F.lit(False).alias("seeks"), F.explode(every).alias("x"), F.col("own").alias("y"))
 
-    def run(group: pa.Table) -> pa.Table:
-        seeks, codes = group.column("seeks").to_numpy(), {}
-        sides = []
-        for flag in (True, False):
-            part = group.filter(pa.array(seeks == flag)).combine_chunks()
-            own_codes = np.array([codes.setdefault(v, len(codes)) for v in part.column("label").to_pylist()], np.int64)
-            sides.append(
-                (
-                    part.column("node").to_pylist(), own_codes, part.column("n").to_numpy().astype(float),
-                    np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS),
-                    part.column("leads").to_numpy(zero_copy_only=False).astype(bool),
-                )
-            )
-        side, other = sides
-        found = _candidates(side, other, group.column("band")[0].as_py(), banded, floor, percent)
-        links = list(_chosen(found, side[1], other[1], most))
-        return pa.table({"hub": pa.array([other[0][j] for _, j in links], pa.binary()), "member": pa.array([side[0][i] for i, _ in links], pa.binary())})
-
-    return seekers.unionByName(others).groupBy("bkey", "x", "y").applyInArrow(run, "hub binary, member binary")
+    def pairs(group: pa.Table, side: dict, other: dict):
+        return _candidates(side, other, group.column("band")[0].as_py(), banded, floor, percent)
+
+    def meet(group: pa.Table) -> pa.Table:
+        side, other = _sides(group)
+        stays = np.zeros(group.num_rows, bool)
+        for i, at, _ in pairs(group, side, other):
+            stays[side["at"][i]] = stays[other["at"][at]] = True
+        return group.filter(pa.array(stays))
+
+    def confirm(group: pa.Table) -> pa.Table:
+        side, other = _sides(group)
+        links = list(_confirmed(pairs(group, side, other), side, other, percent))
+        ends = [side["node"][i] for i, _ in links], [other["node"][j] for _, j in links]
+        return pa.table({name: pa.array(nodes, pa.binary()) for name, nodes in zip("ab", ends, strict=True)})
+
+    both = seekers.unionByName(others)
+    met = common.durable(both.groupBy("bkey", "x", "y").applyInArrow(meet, both.schema), "dup-blocks")
+    texts = _texts_of(met.select("node"), nodes, docs)
+
+    def shingled(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    # written first, so that no task runs two Python workers at once
+    sets = common.durable(texts.mapInArrow(shingled, "node binary, set binary"), "dup-sets")
+    return met.join(sets, "node").groupBy("bkey", "x", "y").applyInArrow(confirm, "a binary, b binary")
 
 
 def _nodes(base: DataFrame) -> DataFrame:
@@ -343,18 +379,11 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
     # written first, so that no task runs two Python workers at once
     links = common.durable(_verified(tested, nodes, docs, percent, width), "dup-links")
     labels = common.durable(graph.components(links), "dup-labels")
-    for most in ROUNDS:
-        found = common.durable(_canonical(_block_pairs(live, labels, nodes, percent, most)), "dup-found")
-        if found.isEmpty():
-            break
-        fresh = common.durable(found.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "dup-fresh")
-        if fresh.isEmpty():
-            continue
-        links = common.durable(_verified(fresh, nodes, docs, percent, width), "dup-links")
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = common.durable(graph.components(known.unionByName(links)), "dup-labels")
-        tested = tested.unionByName(fresh)
-    return labels
+    found = common.durable(_block_links(live, labels, nodes, docs, percent, width), "dup-found")
+    if found.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return common.durable(graph.components(known.unionByName(found)), "dup-labels")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
