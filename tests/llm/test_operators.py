@@ -342,6 +342,39 @@ def test_lm_scores_do_not_depend_on_partitions(spark, sf):
     assert one == many
 
 
+def test_lm_trains_until_settled(spark):
+    """By default rounds go on until what is seen is what is expected, but for the pull; on any partitions alike."""
+    rng = np.random.default_rng(5)
+    texts = [b" ".join(b"w%d" % ((k + 7 * j) % 300 if rng.random() < 0.8 else rng.integers(300)) for j in range(200)) for k in rng.integers(0, 300, 60)]
+    v, s, first = _small_model(texts, 1)
+    training = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
+    settled = lm.train(training, v)
+
+    def left(W):
+        seen, expected = np.zeros(v.rows * lm.WIDE, np.float32), np.zeros((v.rows, lm.WIDE), np.float32)
+        lm.add_sums(s, W, seen, expected)
+        return np.abs(seen.reshape(-1, lm.WIDE) - expected - lm.PULL * W).sum()
+
+    assert left(settled) < 0.2 * left(first)
+    assert (lm.train(training, v, 1) == first).all()
+    assert (lm.train(training.repartition(5), v) == settled).all()
+
+
+def test_lm_rounds_raise_held_out_scores(spark, larger):
+    docs = _table(spark, larger, "documents")
+    own = common.fold_of("doc_id", lm.FOLDS) == lm.HELD
+    one, settled = (lm.score_texts(docs, rounds).where(own).agg(F.sum("score") / F.sum("n_tokens")).first()[0] for rounds in (1, None))
+    assert one + 0.01 < settled
+
+
+def test_lm_expectations_are_whole_units():
+    v, s, W = _small_model([b"a b a c a b d", b"b a b", b""], 1)
+    units, seen, expected = np.zeros(v.rows * lm.WIDE, np.int64), np.zeros(v.rows * lm.WIDE, np.float32), np.zeros((v.rows, lm.WIDE), np.float32)
+    lm.add_expected(s, W, units)
+    lm.add_sums(s, W, seen, expected)
+    assert np.allclose(units.reshape(-1, lm.WIDE) / lm.UNIT, expected, atol=len(s.h) / lm.UNIT)
+
+
 def test_rollup_follows_changes(spark):
     docs = "doc_id long, tokenizer string, source string, lang string, tokens long"
     before = spark.createDataFrame([(1, "a@1", "s", "en", 5), (2, "a@1", "s", None, 7), (3, "a@1", "t", "en", 1)], docs)
