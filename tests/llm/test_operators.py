@@ -4,6 +4,7 @@ import bisect
 import collections
 import math
 import os
+import time
 import zlib
 
 import duckdb
@@ -375,6 +376,34 @@ def test_lm_expectations_are_whole_units():
     assert np.allclose(units.reshape(-1, lm.WIDE) / lm.UNIT, expected, atol=len(s.h) / lm.UNIT)
 
 
+def test_lm_rounds_leave_no_shuffle_files(spark):
+    """What a round shuffles goes when it ends, so disk does not grow with the rounds; the setting is put back."""
+    texts = [b" ".join(b"w%d" % ((k * j) % 50) for j in range(100)) for k in range(20)]
+    v, _, _ = _small_model(texts, 1)
+    training = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, setting = shuffled(), spark.conf.get(key, None)
+    lm.train(training, v, 3)
+    until = time.time() + 20  # files are removed in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(key, None) == setting
+
+
+def test_lm_sums_in_pairs_are_the_same():
+    v, s, W = _small_model([b"a b a c a b d", b"b a b", b""], 1)
+    one, pairs = np.zeros(v.rows * lm.WIDE, np.int64), np.zeros(v.rows * lm.WIDE)
+    lm.add_expected(s, W, one)
+    lm.add_expected(s, W, pairs)
+    assert one.any() and (one == pairs).all()
+
+
 def test_rollup_follows_changes(spark):
     docs = "doc_id long, tokenizer string, source string, lang string, tokens long"
     before = spark.createDataFrame([(1, "a@1", "s", "en", 5), (2, "a@1", "s", None, 7), (3, "a@1", "t", "en", 1)], docs)
