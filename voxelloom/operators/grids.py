@@ -96,11 +96,14 @@ def halo_tiles(spark: SparkSession, shape: dict[str, int], tile: dict[str, int],
     return rows
 
 
-def transform_table(spark: SparkSession, shape: dict[str, int], tile: dict[str, int]) -> DataFrame:
-    """One row for each (t, p, c) and y, x tile, with the whole depth."""
-    rows = tile_table(spark, {a: shape[a] for a in "yx"}, tile)
-    for k in "tpc":
-        rows = rows.withColumn(k, F.explode(F.sequence(F.lit(0), F.lit(shape[k] - 1))))
+def transform_table(keys: DataFrame, shape: dict[str, int], tile: dict[str, int]) -> DataFrame:
+    """One row for each (t, p, c) of ``keys`` and y, x tile, with the whole depth.
+
+    Only volumes that exist have tiles: the last time point of an acquisition
+    may hold fewer positions than the others.
+    """
+    tiles = tile_table(keys.sparkSession, {a: shape[a] for a in "yx"}, tile)
+    rows = keys.select("t", "p", "c").distinct().crossJoin(tiles)
     return rows.select("t", "p", "c", F.lit(0).alias("z_start"), F.lit(shape["z"]).alias("z_stop"), "y_start", "y_stop", "x_start", "x_stop")
 
 

@@ -14,7 +14,7 @@ from voxelloom.operators import (
     statistics, stitching,
 )
 from voxelloom.sources import sinks
-from voxelloom.sources.voxels import embedding_voxels, table
+from voxelloom.sources.voxels import embedding_keys, embedding_voxels, table
 
 #: Fixed value: boxes take their threshold from every 8th voxel.
 BOX_STEP = 8
@@ -783,8 +783,7 @@ def fit_tiles(spark, sf_dir):
 @query
 def transform_tiles(spark, sf_dir):
     """Tiles of full depth for each (t, p, c) of the voxels."""
-    n = embedding_voxels(spark, sf_dir).agg(*[(F.max(a) + 1).alias(a) for a in "tpcyxz"]).first()
-    return grids.transform_table(spark, {a: n[a] for a in "tpczyx"}, {"y": 4, "x": 5})
+    return grids.transform_table(embedding_keys(spark, sf_dir), SHAPE, {"y": 4, "x": 5})
 
 
 @query

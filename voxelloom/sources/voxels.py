@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AXES = ["t", "p", "c", "z", "y", "x"]
@@ -27,15 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _volume_of(id_: Column) -> list[Column]:
+    """The t, p, c of a vector."""
+    return [
+        F.floor(id_ / 100).cast("int").alias("t"),
+        (F.floor(id_ / 20) % 5).cast("int").alias("p"),
+        (F.floor(id_ / 10) % 2).cast("int").alias("c"),
+    ]
+
+
+def embedding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (t, p, c) that have vectors, one row each; no voxels are made."""
+    return table(spark, sf_dir, "embeddings").select(*_volume_of(F.col("vec_id"))).distinct()
+
+
 def embedding_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 8 x 8 plane per vector; ten planes make a volume."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
     value = F.rint(F.least(F.lit(65535.0), F.greatest(F.lit(0.0), F.col("e").cast("double") * 1000 + 2000)))
     id_ = F.col("vec_id")
     return rows.select(
-        F.floor(id_ / 100).cast("int").alias("t"),
-        (F.floor(id_ / 20) % 5).cast("int").alias("p"),
-        (F.floor(id_ / 10) % 2).cast("int").alias("c"),
+        *_volume_of(id_),
         (id_ % 10).cast("int").alias("z"),
         F.floor(F.col("i") / 8).cast("int").alias("y"),
         (F.col("i") % 8).cast("int").alias("x"),
