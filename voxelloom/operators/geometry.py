@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.session import ensure_checkpoint_dir
@@ -118,27 +118,6 @@ def budget_factor(shape: tuple[int, int, int], budget: int) -> int:
     return factor
 
 
-def mutual_nearest(fixed: DataFrame, moving: DataFrame, max_dist: float) -> DataFrame:
-    """Pairs that are each other's nearest below ``max_dist`` (strictly).
-
-    Points (id, r, c) meet in grid cells of that size and their neighbours, so
-    only close pairs are formed.  Ties go to the smaller id.
-    """
-    cell = float(max_dist)
-    f = fixed.select(F.col("id").alias("fixed"), F.col("r").alias("fr"), F.col("c").alias("fc"))
-    f = f.withColumn("cr", F.floor(F.col("fr") / cell)).withColumn("cc", F.floor(F.col("fc") / cell))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    m = moving.select(F.col("id").alias("moving"), F.col("r").alias("mr"), F.col("c").alias("mc"))
-    m = m.withColumn("cr", F.explode(F.transform(near, lambda d: F.floor(F.col("mr") / cell) + d)))
-    m = m.withColumn("cc", F.explode(F.transform(near, lambda d: F.floor(F.col("mc") / cell) + d)))
-    gap = F.sqrt((F.col("fr") - F.col("mr")) ** 2 + (F.col("fc") - F.col("mc")) ** 2)
-    pairs = f.join(m, ["cr", "cc"]).withColumn("d", gap).where(F.col("d") < max_dist)
-    of_m = Window.partitionBy("moving").orderBy("d", "fixed")
-    of_f = Window.partitionBy("fixed").orderBy("d", "moving")
-    ranked = pairs.withColumn("a", F.row_number().over(of_m)).withColumn("b", F.row_number().over(of_f))
-    return ranked.where("a = 1 AND b = 1").select("moving", "fixed", "d")
-
-
 def rotation_xyz(x_deg: Column, y_deg: Column, z_deg: Column) -> list[list[Column]]:
     """Rz @ Ry @ Rx for degrees."""
     (cx, sx), (cy, sy), (cz, sz) = [(F.cos(F.radians(a)), F.sin(F.radians(a))) for a in (x_deg, y_deg, z_deg)]

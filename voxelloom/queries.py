@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelloom import functions as V
 from voxelloom.operators import collections as C
 from voxelloom.operators import (
-    blocks, detection, flatfield, fusion, geometry, grids, keypoints, ledger, projection, regions, registration, render, segmentation, shear,
+    blocks, detection, flatfield, fusion, geometry, grids, keypoints, ledger, nearest, projection, regions, registration, render, segmentation, shear,
     statistics, stitching,
 )
 from voxelloom.sources import sinks
@@ -446,7 +446,7 @@ def mutual_nn(spark, sf_dir):
         (F.col("c_custkey") * 53 % 97 + F.lit(0.0)).alias("c"),
     )
     fixed, moving = c.where("id % 2 = 0"), c.where("id % 2 = 1")
-    return geometry.mutual_nearest(fixed, moving, 3.0).select("moving", "fixed", r6("d"))
+    return nearest.mutual_nearest(fixed, moving, 3.0).select("moving", "fixed", r6("d"))
 
 
 @query
